@@ -18,7 +18,13 @@ def squeeze(col: Column) -> Column:
 def title_case(col: Column) -> Column:
     """Capital after every non-letter, lower case elsewhere (``initcap`` only looks at blanks)."""
     runs = F.regexp_extract_all(col, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
-    cased = F.transform(runs, lambda run: F.concat(F.upper(F.substring(run, 1, 1)), F.lower(F.substr(run, F.lit(2)))))
+
+    def cased_run(run: Column) -> Column:
+        first = F.substring(run, 1, 1)
+        capital = F.when(first == "ß", F.lit("Ss")).otherwise(F.upper(first))
+        return F.concat(capital, F.lower(F.substr(run, F.lit(2))))
+
+    cased = F.transform(runs, cased_run)
     return F.array_join(cased, "")
 
 
