@@ -55,7 +55,7 @@ def mark_copies(df: DataFrame, keys: list[str], order: list[str], flag: str = "i
     low = F.col("_chunk") * COPY_CHUNK
     high = F.least(low + COPY_CHUNK, F.col("_copies")) - 1
     return spread.select(*columns, "_is_first", F.explode(F.sequence(low, high)).alias("_copy")).select(
-        *columns, ~(F.col("_is_first") & (F.col("_copy") == 0)).alias(flag)
+        *columns, (~(F.col("_is_first") & (F.col("_copy") == 0))).alias(flag)
     )
 
 

@@ -16,6 +16,11 @@ def number(name: str, default: float = 0.0) -> Column:
     return F.coalesce(F.col(name).cast("double"), F.lit(default))
 
 
+def section_number(category: Column) -> Column:
+    """Place of a category in the fixed order of sections, from 1; 0 when it is none of them."""
+    return F.array_position(F.array(*map(F.lit, params.CATEGORIES)), category).cast("int")
+
+
 def category_rules() -> dict[str, tuple[Column, Column]]:
     """Category -> (qualifies, score)."""
     conviction, behavior = number("conviction_score"), number("behavior_change_score")
@@ -164,3 +169,89 @@ def rank_discoveries(signals: DataFrame, categories: list[str] | None = None) ->
     order = score * F.lit(10_000_000).cast("decimal(8,0)") + F.floor(F.col("conviction_score") * 1e4 + 0.5)
     ranked = rank_rows(rows, ["ranking_category"], order, [F.col("ticker"), F.col("stable_key")])
     return ranked.select(*RANKING_COLUMNS)
+
+
+def ranking_cards(ranked: DataFrame) -> DataFrame:
+    """Ranked rows as cards: list texts split, empty texts missing."""
+    def text(name: str) -> Column:
+        return F.nullif(name, F.lit(""))
+
+    return ranked.select(
+        "rank", F.col("ranking_category").alias("category"), text("ticker").alias("ticker"), "issuer_cik", text("company_name").alias("company_name"),
+        "headline", "purchase_value", "purchase_multiple", "ownership_increase_percent", "buyer_count",
+        F.col("qualifying_operating_executive_count").alias("operating_executive_count"), "behavior_change_score", "conviction_score",
+        "abnormality_score", "silence_break_score", "cluster_score", "market_cap", "sector", "industry",
+        F.col("latest_transaction_date").alias("transaction_date"), F.col("latest_filing_date").alias("filing_date"), F.col("score_quality").alias("quality"),
+        F.col("discovery_eligibility").alias("discovery_eligible"), "reason_codes", tokens(F.col("source_accession_numbers")).alias("source_accession_numbers"),
+    )
+
+
+def normalized_order(ranked: DataFrame) -> DataFrame:
+    """Rows in page order: rank, then conviction, ticker and company number."""
+    return ranked.orderBy(F.coalesce(F.col("rank"), F.lit(10**9)), F.desc("conviction_score"), "ticker", "issuer_cik")
+
+
+def sections(ranked: DataFrame, size: int) -> DataFrame:
+    """First items of every category. Ranks are known, so this is a filter that reaches the scan."""
+    return ranked.filter(F.col("rank") <= size)
+
+
+def section_lists(ranked: DataFrame, size: int) -> DataFrame:
+    """One row per category: its full count and its first items as a list of at most ``size``."""
+    counts = ranked.groupBy("ranking_category").agg(F.count(F.lit(1)).alias("count"))
+    cards = ranking_cards(sections(ranked, size))
+    items = cards.groupBy(F.col("category").alias("ranking_category")).agg(F.array_sort(F.collect_list(F.struct(*[c for c in cards.columns]))).alias("items"))
+    return counts.join(items, "ranking_category")
+
+
+def snapshot_keys(ranked: DataFrame) -> DataFrame:
+    score = F.col("ranking_score").cast("string")
+    return ranked.withColumn("snapshot_key", stable_id(F.col("stable_key"), score, F.col("rank")))
+
+
+def append_history(history: DataFrame, latest: DataFrame) -> DataFrame:
+    """Rows of the latest ranking that the history does not hold yet, by snapshot key; each key once."""
+    fresh = first_per_key(snapshot_keys(latest), ["snapshot_key"], [F.col("ranking_category"), F.col("rank")])
+    return fresh.join(history.select("snapshot_key"), "snapshot_key", "left_anti")
+
+
+def first_across_sections(items: DataFrame) -> DataFrame:
+    """One item per company over all sections: the earliest section, then the best rank."""
+    identity = F.lower(F.concat_ws("|", *[F.nullif(c, F.lit("")) for c in ("issuer_cik", "ticker", "company_name")]))
+    keyed = items.withColumn("_key", identity).filter("_key <> ''")
+    return first_per_key(keyed, ["_key"], [section_number(F.col("ranking_category")), F.col("rank")]).drop("_key")
+
+
+def latest_stories(signals: DataFrame, ranked: DataFrame, count: int = 6) -> DataFrame:
+    """Newest purchases, one per ticker, day and person, filled up from the rankings where they are too few.
+
+    Only the first ``count`` candidates of each source are ever compared. Both sources are cut with top-k.
+    """
+    beats = first_per_key(
+        signals.select("ticker", "transaction_date", "insider_id", "event_id", "headline", "purchase_value", "conviction_score").filter("ticker <> ''"),
+        ["ticker", "transaction_date", "insider_id"], [F.col("conviction_score"), F.col("event_id")],
+    )
+    newest = beats.orderBy(F.desc("transaction_date"), F.asc("conviction_score"), F.desc("event_id")).limit(count)
+    first = newest.select(
+        F.lit(0).alias("_source"),
+        F.col("event_id").alias("id"), "ticker", F.col("transaction_date").alias("date"), F.col("purchase_value").alias("value"),
+        F.row_number().over(Window.orderBy(F.desc("transaction_date"), F.asc("conviction_score"), F.desc("event_id"))).alias("_n"),
+    )
+    cards = first_per_key(
+        ranked.filter("rank <= 100").select("ticker", "latest_filing_date", "headline", "ranking_category", "rank", "purchase_value", "stable_key"),
+        ["ticker", "latest_filing_date", "headline"], [section_number(F.col("ranking_category")), F.col("rank")],
+    )
+    order = [section_number(F.col("ranking_category")), F.col("rank")]
+    filled = cards.orderBy(*order).limit(count).select(
+        F.lit(1).alias("_source"), F.concat_ws("-", "ticker", F.col("latest_filing_date").cast("string"), "headline").alias("id"),
+        "ticker", F.col("latest_filing_date").alias("date"), F.col("purchase_value").alias("value"), F.row_number().over(Window.orderBy(*order)).alias("_n"),
+    )
+    return first.unionByName(filled).orderBy("_source", "_n").limit(count).select("id", "ticker", "date", "value")
+
+
+def change_groups(feed: DataFrame, size: int = 5) -> DataFrame:
+    """First items of each kind of change, in feed order."""
+    kinds = ["new_cluster", "silence_break", "conviction_increase"]
+    spread = feed.withColumn("change_type", F.explode("change_types")).filter(F.col("change_type").isin(kinds))
+    order = [F.desc("filing_date"), F.desc("conviction"), F.desc("purchase_value"), F.asc("id")]
+    return top_per_key(spread, ["change_type"], order, size)
