@@ -1,0 +1 @@
+"""Incremental jobs: new filings, price loads, ranking history, daily activity."""
