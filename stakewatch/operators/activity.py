@@ -184,8 +184,7 @@ def filter_feed(feed: DataFrame, sector: str = "all", change: str = "all", min_v
 
 def feed_by_day(feed: DataFrame) -> DataFrame:
     """Feed items with their place inside their filing day, as rows (a day may hold any number of them)."""
-    order = F.floor(F.col("conviction") * 1e4 + 0.5).cast("bigint")
-    return rank_rows(feed, ["filing_date"], order, [F.desc("purchase_value"), F.asc("id")], "place")
+    return rank_rows(feed, ["filing_date"], [F.col("conviction"), F.col("purchase_value")], [F.asc("id")], "place")
 
 
 def sector_acceleration(items: DataFrame) -> DataFrame:
@@ -396,10 +395,9 @@ def merge_day(signals: DataFrame) -> DataFrame:
 
 def calendar_rows(days: DataFrame, signals: DataFrame) -> DataFrame:
     """Calendar: the figures of each day with that day's purchases as rows, numbered by conviction and value."""
-    order = F.floor(F.col("conviction_score") * 1e4 + 0.5).cast("bigint")
     placed = rank_rows(
         signals.select(F.col("transaction_date").alias("date"), "event_id", "ticker", "conviction_score", F.col("purchase_value").alias("value")),
-        ["date"], order, [F.desc("value"), F.asc("event_id")], "place",
+        ["date"], [F.col("conviction_score"), F.col("value")], [F.asc("event_id")], "place",
     )
     return days.join(placed, "date", "left")
 

@@ -160,14 +160,10 @@ def discovery_rows(signals: DataFrame, categories: list[str] | None = None) -> D
 
 
 def rank_discoveries(signals: DataFrame, categories: list[str] | None = None) -> DataFrame:
-    """Ranked rows of the categories: score, then conviction, ticker and key; ranks start at 1 per category.
-
-    Score (6 digits) and conviction (4 digits) go into one whole number, so the order of both is one value.
-    """
+    """Ranked rows of the categories: score, then conviction, ticker and key; ranks start at 1 per category."""
     rows = discovery_rows(signals, categories)
-    score = F.floor(F.col("ranking_score") * 1e6 + 0.5).cast("decimal(20,0)")
-    order = score * F.lit(10_000_000).cast("decimal(8,0)") + F.floor(F.col("conviction_score") * 1e4 + 0.5)
-    ranked = rank_rows(rows, ["ranking_category"], order, [F.col("ticker"), F.col("stable_key")])
+    scores = [F.col("ranking_score"), F.col("conviction_score")]
+    ranked = rank_rows(rows, ["ranking_category"], scores, [F.col("ticker"), F.col("stable_key")])
     return ranked.select(*RANKING_COLUMNS)
 
 

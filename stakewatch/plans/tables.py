@@ -44,6 +44,12 @@ def title_of(segment: Column) -> Column:
     return out
 
 
+def segment_roles(customer: DataFrame) -> DataFrame:
+    """Roles per market segment: titles are read once per distinct text, not once per lot."""
+    titles = customer.select(F.col("c_mktsegment").alias("segment")).distinct()
+    return titles.withColumn("normalized_roles", roles_from_title(title_of(F.col("segment"))))
+
+
 def build_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = raw(spark, sf_dir, "lineitem")
     orders = raw(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
@@ -101,7 +107,7 @@ def build_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("shares_owned_after", F.col("_before") + F.col("_inside"))
         .drop("_before", "_inside")
         .withColumn("is_qualifying_purchase", qualifies)
-        .withColumn("normalized_roles", roles_from_title(title_of(F.col("segment"))))
+        .join(segment_roles(customer), "segment")
         .withColumn("footnotes", F.lit(""))
         .withColumn(
             "quality",
