@@ -20,7 +20,9 @@ def with_positions(events: DataFrame) -> DataFrame:
     """Adds the place of a purchase among those of its own day (by event id) and the day's running value."""
     same_day = Window.partitionBy(*PERSON_DAY).orderBy("event_id")
     so_far = same_day.rowsBetween(Window.unboundedPreceding, 0)
+    before = same_day.rowsBetween(Window.unboundedPreceding, -1)
     value = F.coalesce("purchase_value", F.lit(0.0))
+    positive = F.when(value > 0, value)
     log_value = F.log1p(value)
     return (
         events.withColumn("_day_place", F.row_number().over(same_day) - 1)
@@ -29,6 +31,8 @@ def with_positions(events: DataFrame) -> DataFrame:
                 "_day_value": F.sum(value).over(so_far),
                 "_day_logs": F.sum(log_value).over(so_far),
                 "_day_placed_logs": F.sum(F.col("_day_place") * log_value).over(so_far),
+                "_day_positive": F.coalesce(F.count_if(value > 0).over(before), F.lit(0)),
+                "_day_largest": F.max(positive).over(before),
             }
         )
     )
@@ -39,6 +43,7 @@ def daily_history(placed: DataFrame) -> DataFrame:
     days = placed.groupBy(*PERSON_DAY).agg(
         F.count(F.lit(1)).alias("_n"),
         F.count("purchase_value").alias("_known"),
+        F.count_if(F.coalesce("purchase_value", F.lit(0.0)) > 0).alias("_positive"),
         F.sum("purchase_value").alias("_value"),
         F.max("purchase_value").alias("_largest"),
         F.max("_day_logs").alias("_logs"),
@@ -68,6 +73,7 @@ def daily_history(placed: DataFrame) -> DataFrame:
             "_first_n": F.first("_n").over(line.rowsBetween(Window.unboundedPreceding, 0)),
             "group_size": F.sum("_n").over(Window.partitionBy(*PERSON)),
             "_logs_before": total("_logs", before),
+            "_positive_before": total("_positive", before),
             **{f"_value_{n}d": total("_value", trailing(n)) for n in params.VELOCITY_DAYS},
             **{f"_count_{n}d": total("_n", trailing(n)) for n in params.VELOCITY_DAYS},
             "_full_90d": F.round(total("_value", line.rangeBetween(-90, 0)), 2),
@@ -84,7 +90,7 @@ def daily_history(placed: DataFrame) -> DataFrame:
         }
     )
     gaps = prior_gaps(out.select(*PERSON, "transaction_date", "_day", "_n", "days_since_previous_purchase"))
-    return out.drop("_n", "_known", "_value", "_largest", "_logs", "_placed_logs", "_second_day", "_first_day", "_first_n", "_day").join(
+    return out.drop("_n", "_known", "_positive", "_value", "_largest", "_logs", "_placed_logs", "_second_day", "_first_day", "_first_n", "_day").join(
         gaps, PERSON_DAY
     )
 
@@ -158,6 +164,9 @@ def with_daily_history(events: DataFrame) -> DataFrame:
             .otherwise(F.lit("")),
             **{f"purchase_value_{n}d": F.round(F.col(f"_value_{n}d") + F.col("_day_value"), 2) for n in params.VELOCITY_DAYS},
             **{f"purchase_count_{n}d": F.col(f"_count_{n}d") + F.col("_day_place") + 1 for n in params.VELOCITY_DAYS},
+            # earlier positive purchases, and the largest of them
+            "_priors": (F.col("_positive_before") + F.col("_day_positive")).cast("bigint"),
+            "_largest": F.greatest(F.when(F.col("largest_prior_purchase_value") > 0, F.col("largest_prior_purchase_value")), F.col("_day_largest")),
             "_sum_logs": F.col("_logs_before") + F.col("_day_logs"),
             # sum of position * log value up to this purchase
             "_sum_placed_logs": F.col("_placed_logs_before") + count * F.col("_day_logs") + F.col("_day_placed_logs"),
@@ -167,6 +176,9 @@ def with_daily_history(events: DataFrame) -> DataFrame:
         }
     ).drop(
         "_logs_before",
+        "_positive_before",
+        "_day_positive",
+        "_day_largest",
         "_placed_logs_before",
         "_day_logs",
         "_day_placed_logs",

@@ -13,15 +13,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from stakewatch import params
 from stakewatch.functions.numeric import ratio
+from stakewatch.operators.blocked import blocked_statistics
 from stakewatch.operators.history import PERSON, sorted_median
 
 STATISTICS = [
     "prior_median_purchase_value",
     "prior_purchase_value_percentile",
     "prior_median_ownership_increase_percent",
-    "_priors",
     "_median",
-    "_largest",
     "_below",
     "_median_log",
     "_mad",
@@ -29,10 +28,20 @@ STATISTICS = [
 ]
 
 
-def with_prior_statistics(placed: DataFrame, limit: int = params.ARRAY_GROUP_LIMIT) -> DataFrame:
-    """Adds the statistics of the earlier purchases to each purchase."""
+def has_large_groups(placed: DataFrame, limit: int = params.ARRAY_GROUP_LIMIT) -> bool:
+    """Whether any group needs the second way. On a written table this reads one column, mostly its statistics."""
+    return not placed.filter(F.col("group_size") > limit).select("group_size").isEmpty()
+
+
+def with_prior_statistics(placed: DataFrame, limit: int = params.ARRAY_GROUP_LIMIT, large_groups: bool = True) -> DataFrame:
+    """Adds the statistics of the earlier purchases to each purchase.
+
+    ``large_groups=False`` leaves the second way out of the plan; only for a table checked by ``has_large_groups``.
+    """
+    if not large_groups:
+        return array_statistics(placed)
     small = array_statistics(placed.filter(F.col("group_size") <= limit))
-    large = array_statistics(placed.filter(F.col("group_size") > limit))
+    large = blocked_statistics(placed.filter(F.col("group_size") > limit))
     return small.unionByName(large.select(*small.columns))
 
 
@@ -68,9 +77,7 @@ def array_statistics(placed: DataFrame) -> DataFrame:
             )
             * 100,
             "prior_median_ownership_increase_percent": sorted_median(F.col("_owned")),
-            "_priors": F.size("_positive").cast("bigint"),
             "_median": sorted_median(F.col("_positive")),
-            "_largest": F.array_max("_positive"),
             "_below": F.size(F.filter(F.col("_positive"), lambda v: v < value)).cast("bigint"),
             "_median_log": sorted_median(F.transform(F.col("_positive"), lambda v: F.log1p(v))),
             "_median_90d": sorted_median(F.col("_trailing")),

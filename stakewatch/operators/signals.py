@@ -14,7 +14,12 @@ from stakewatch.operators.ordered_statistics import with_prior_statistics
 
 def executive_histories(events: DataFrame) -> DataFrame:
     """Purchases with their full causal history, order statistics included."""
-    return with_prior_statistics(with_daily_history(events)).withColumn(
+    return complete_histories(with_daily_history(events))
+
+
+def complete_histories(placed: DataFrame, large_groups: bool = True) -> DataFrame:
+    """The second half of ``executive_histories``, for a written table of daily histories."""
+    return with_prior_statistics(placed, large_groups=large_groups).withColumn(
         "history_id", F.concat(F.lit("history:"), F.col("event_id"))
     )
 

@@ -263,7 +263,7 @@ def price_context(spark, sf_dir):
     ("hist",),
 )
 def w1(spark, sf_dir):
-    df = signal_ops.executive_histories(tables.events(spark, sf_dir).withColumn("price_available", F.lit(True))).select(
+    df = tables.build_histories(spark, sf_dir).select(
         "event_id", "prior_purchase_count", "cumulative_prior_purchase_value", "prior_mean_purchase_value",
         "largest_prior_purchase_value", "prior_median_purchase_value", "prior_median_ownership_increase_percent",
         "first_prior_purchase_date", "previous_purchase_date",

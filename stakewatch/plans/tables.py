@@ -17,6 +17,8 @@ from stakewatch.operators import events as event_ops
 from stakewatch.operators import prices as price_ops
 from stakewatch.operators import rankings as ranking_ops
 from stakewatch.operators import signals as signal_ops
+from stakewatch.operators.history import with_daily_history
+from stakewatch.operators.ordered_statistics import has_large_groups
 from stakewatch.session import shared_folder
 
 # Market segment -> officer title (the driver's tables hold no titles).
@@ -203,10 +205,18 @@ def priced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def placed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases with everything that adds up over days."""
+    return stage(spark, sf_dir, "placed_events", lambda s, d: with_daily_history(priced_events(s, d)))
+
+
+def build_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = placed_events(spark, sf_dir)
+    return signal_ops.complete_histories(placed, has_large_groups(placed))
+
+
 def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(
-        spark, sf_dir, "histories", lambda s, d: signal_ops.executive_histories(priced_events(s, d))
-    )
+    return stage(spark, sf_dir, "histories", build_histories)
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -326,3 +326,42 @@ def test_positions_ranks_and_medians_match_brute_force(spark):
     for group in by_key.values():
         for place, (_, _, i) in enumerate(sorted(group, key=lambda x: (-x[0], -x[1], x[2])), start=1):
             assert ranked[i] == place
+
+
+def test_blocked_statistics_equal_the_arrays(spark):
+    """A person with a day that holds a third of the purchases, many equal values and missing ownership."""
+    import random
+    from datetime import timedelta
+
+    from stakewatch.operators.blocked import blocked_statistics
+    from stakewatch.operators.ordered_statistics import STATISTICS, array_statistics
+
+    rng, rows = random.Random(3), []
+    for group, count in (("1", 170), ("2", 60)):
+        for i in range(count):
+            day = date(2020, 1, 1) + timedelta(days=5 if rng.random() < 0.33 else rng.randrange(120))
+            value = rng.choice([100.0, 100.0, round(rng.random() * 1000, 2) + 0.01, round(10 ** (rng.random() * 6), 2) + 0.01])
+            rows.append((group, "p", f"e{i:05d}", day, value, rng.choice([None, rng.random() * 100])))
+    table = spark.createDataFrame(
+        rows, "issuer_cik string, insider_id string, event_id string, transaction_date date, purchase_value double, ownership_increase_percent double"
+    )
+    placed = with_daily_history(table)
+    want = {(r.issuer_cik, r.sequence): r for r in array_statistics(placed).collect()}
+    got = {(r.issuer_cik, r.sequence): r for r in blocked_statistics(placed, block_rows=16, ranges=12).collect()}
+    assert want.keys() == got.keys()
+    for key, row in want.items():
+        for name in STATISTICS:
+            assert got[key][name] == pytest.approx(row[name], abs=1e-9), (key, name)
+
+
+def test_large_and_small_groups_together(spark):
+    from stakewatch.operators.ordered_statistics import STATISTICS, array_statistics, has_large_groups, with_prior_statistics
+
+    rows = [(f"e{i:03d}", date(2020, 1 + i % 12, 1 + i % 28), 50 + (i * 37) % 91) for i in range(40)]
+    other = purchases(spark, rows[:6]).withColumn("insider_id", F.lit("3"))
+    placed = with_daily_history(purchases(spark, rows).unionByName(other))
+    assert has_large_groups(placed, 10) and not has_large_groups(placed, 40)
+    want = {(r.insider_id, r.sequence): r for r in array_statistics(placed).collect()}
+    got = {(r.insider_id, r.sequence): r for r in with_prior_statistics(placed, limit=10).collect()}
+    assert want.keys() == got.keys()
+    assert all(got[k][n] == pytest.approx(want[k][n], abs=1e-9) for k in want for n in STATISTICS)
