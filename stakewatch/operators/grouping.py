@@ -33,10 +33,6 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, pos
     return ranked.filter(F.col(position) <= k)
 
 
-def equal_on(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def mark_copies(df: DataFrame, keys: list[str], order: list[str], flag: str = "is_copy") -> DataFrame:
     """Flags every row of a key but the first.
 

@@ -39,7 +39,11 @@ def with_positions(events: DataFrame) -> DataFrame:
 
 
 def daily_history(placed: DataFrame) -> DataFrame:
-    """One row per person and day with everything known before that day."""
+    """One row per person and day with everything known before that day.
+
+    A day with n purchases stands for its distance to the day before and n - 1 gaps of zero. The zeros come as a
+    second entry of the day with a weight, so exact gap medians need no list of purchases and no second pass.
+    """
     days = placed.groupBy(*PERSON_DAY).agg(
         F.count(F.lit(1)).alias("_n"),
         F.count("purchase_value").alias("_known"),
@@ -49,7 +53,34 @@ def daily_history(placed: DataFrame) -> DataFrame:
         F.max("_day_logs").alias("_logs"),
         F.sum(F.col("_day_place") * F.log1p(F.coalesce("purchase_value", F.lit(0.0)))).alias("_placed_logs"),
     )
-    days = days.withColumn("_day", F.unix_date("transaction_date"))
+    measures = [c for c in days.columns if c not in PERSON_DAY]
+    in_order = Window.partitionBy(*PERSON).orderBy("transaction_date")
+    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    previous = F.lag("transaction_date").over(in_order)
+    days = days.withColumns(
+        {
+            "previous_purchase_date": previous,
+            "days_since_previous_purchase": F.datediff("transaction_date", previous),
+            "_first_gap": F.when(F.first("_n").over(whole) > 1, F.lit(0)).otherwise(
+                F.datediff(F.nth_value("transaction_date", 2).over(whole), F.first("transaction_date").over(whole))
+            ),
+        }
+    )
+    one, zeros = F.lit(1).cast("bigint"), F.col("_n") - 1
+    entries = F.array_compact(
+        F.array(
+            F.struct(F.lit(True).alias("day_itself"), F.col("days_since_previous_purchase").alias("gap"), one.alias("times")),
+            F.when(zeros > 0, F.struct(F.lit(False).alias("day_itself"), F.lit(0).alias("gap"), zeros.alias("times"))),
+        )
+    )
+    spread = days.withColumn("_entry", F.explode(entries)).withColumns(
+        {
+            "_day": F.unix_date("transaction_date"),
+            "_gap": F.col("_entry.gap"),
+            "_times": F.col("_entry.times"),
+            **{c: F.when(F.col("_entry.day_itself"), F.col(c)) for c in measures},
+        }
+    )
     line = Window.partitionBy(*PERSON).orderBy("_day")
     before = line.rangeBetween(Window.unboundedPreceding, -1)
 
@@ -59,7 +90,7 @@ def daily_history(placed: DataFrame) -> DataFrame:
     def total(col: str | Column, over: object) -> Column:
         return F.coalesce(F.sum(col).over(over), F.lit(0))
 
-    out = days.withColumns(
+    out = spread.withColumns(
         {
             "prior_purchase_count": total("_n", before),
             **{name: total("_n", trailing(n)) for name, n in params.HISTORY_DAYS.items()},
@@ -67,10 +98,8 @@ def daily_history(placed: DataFrame) -> DataFrame:
             "prior_mean_purchase_value": ratio(F.sum("_value").over(before), F.sum("_known").over(before)),
             "largest_prior_purchase_value": F.max("_largest").over(before),
             "first_prior_purchase_date": F.min("transaction_date").over(before),
-            "previous_purchase_date": F.max("transaction_date").over(before),
-            "_second_day": F.nth_value("transaction_date", 2).over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-            "_first_day": F.min("transaction_date").over(Window.partitionBy(*PERSON)),
-            "_first_n": F.first("_n").over(line.rowsBetween(Window.unboundedPreceding, 0)),
+            "median_prior_gap_days": F.percentile("_gap", 0.5, F.col("_times")).over(before),
+            "longest_prior_gap_days": F.max("_gap").over(before).cast("double"),
             "group_size": F.sum("_n").over(Window.partitionBy(*PERSON)),
             "_logs_before": total("_logs", before),
             "_positive_before": total("_positive", before),
@@ -79,50 +108,9 @@ def daily_history(placed: DataFrame) -> DataFrame:
             "_full_90d": F.round(total("_value", line.rangeBetween(-90, 0)), 2),
         }
     )
-    out = out.withColumn(
-        "_placed_logs_before",
-        F.coalesce(F.sum(F.col("prior_purchase_count") * F.col("_logs") + F.col("_placed_logs")).over(before), F.lit(0.0)),
-    )
-    out = out.withColumns(
-        {
-            "days_since_previous_purchase": F.datediff("transaction_date", "previous_purchase_date"),
-            "_first_gap": F.when(F.col("_first_n") > 1, F.lit(0)).otherwise(F.datediff("_second_day", "_first_day")),
-        }
-    )
-    gaps = prior_gaps(out.select(*PERSON, "transaction_date", "_day", "_n", "days_since_previous_purchase"))
-    return out.drop("_n", "_known", "_positive", "_value", "_largest", "_logs", "_placed_logs", "_second_day", "_first_day", "_first_n", "_day").join(
-        gaps, PERSON_DAY
-    )
-
-
-def prior_gaps(days: DataFrame) -> DataFrame:
-    """Median and longest gap between the purchases before each day.
-
-    A day with n purchases adds its distance to the day before and n - 1 gaps of zero, given as a weight, so the
-    exact median never needs the purchases themselves.
-    """
-    entries = days.select(
-        *PERSON,
-        "transaction_date",
-        "_day",
-        F.explode(
-            F.array(
-                F.struct(F.col("days_since_previous_purchase").alias("gap"), F.lit(1).cast("bigint").alias("times")),
-                F.struct(F.lit(0).alias("gap"), (F.col("_n") - 1).alias("times")),
-            )
-        ).alias("e"),
-    ).select(*PERSON, "transaction_date", "_day", F.when(F.col("e.times") > 0, F.col("e.gap")).alias("_gap"), "e.times", F.col("e.gap").isNotNull().alias("_known"))
-    before = Window.partitionBy(*PERSON).orderBy("_day").rangeBetween(Window.unboundedPreceding, -1)
-    spread = entries.withColumns(
-        {
-            "median_prior_gap_days": F.percentile("_gap", 0.5, F.col("times")).over(before),
-            "longest_prior_gap_days": F.max("_gap").over(before),
-        }
-    )
-    return spread.groupBy(*PERSON_DAY).agg(
-        F.max("median_prior_gap_days").alias("median_prior_gap_days"),
-        F.max("longest_prior_gap_days").cast("double").alias("longest_prior_gap_days"),
-    )
+    weighted = F.col("prior_purchase_count") * F.col("_logs") + F.col("_placed_logs")
+    out = out.withColumn("_placed_logs_before", F.coalesce(F.sum(weighted).over(before), F.lit(0.0)))
+    return out.filter("_entry.day_itself").drop(*measures, "_entry", "_gap", "_times", "_day")
 
 
 def sorted_median(values: Column) -> Column:

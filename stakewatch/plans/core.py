@@ -257,7 +257,7 @@ def price_context(spark, sf_dir):
 @query(
     "w1_causal_history",
     f"""SELECT event_id, prior_purchase_count, {r('cumulative_prior_purchase_value', 2)} AS cumulative_prior_purchase_value,
-     {r('prior_mean_purchase_value', 6)} AS prior_mean_purchase_value, largest_prior_purchase_value,
+     floor(prior_mean_purchase_value*1e4+0.500001e0)/1e4 AS prior_mean_purchase_value, largest_prior_purchase_value,
      {r('prior_median_purchase_value', 4)} AS prior_median_purchase_value,
      {rs('prior_median_ownership_increase_percent')}, first_prior_purchase_date, previous_purchase_date FROM hist""",
     ("hist",),
@@ -269,9 +269,10 @@ def w1(spark, sf_dir):
         "first_prior_purchase_date", "previous_purchase_date",
     )
     df = rounded(df, 2, "cumulative_prior_purchase_value")
-    return rounded(
-        rounded(df, 4, "prior_median_purchase_value"), 6, "prior_mean_purchase_value", "prior_median_ownership_increase_percent"
-    )
+    # Means of cent amounts often end in exactly half a unit; the small extra keeps those up in both engines.
+    mean = F.floor(F.col("prior_mean_purchase_value") * 1e4 + 0.500001) / 1e4
+    df = rounded(df.withColumn("prior_mean_purchase_value", mean), 4, "prior_median_purchase_value")
+    return rounded(df, 6, "prior_median_ownership_increase_percent")
 
 
 @query(

@@ -175,7 +175,7 @@ _PAGE_LINK = r"""(?i)href=["']([^"']+)["']"""
 @query(
     "src5_page_links",
     """SELECT page_id, year, quarter, arg_max(href, place) AS url FROM (
-     SELECT page_id, href, place, 2006+length(href)%9 AS year, 1+length(href)%4 AS quarter FROM (
+     SELECT page_id, href, place, CAST(2006+length(href)%9 AS INTEGER) AS year, CAST(1+length(href)%4 AS INTEGER) AS quarter FROM (
       SELECT page_id, unnest(regexp_extract_all(html, '(?i)href=["'']([^"'']+)["'']', 1)) AS href,
        generate_subscripts(regexp_extract_all(html, '(?i)href=["'']([^"'']+)["'']', 1),1) AS place FROM pages)) WHERE year>=2008 GROUP BY 1,2,3""",
 )
@@ -476,7 +476,7 @@ def j3(spark, sf_dir):
 
 @query(
     "a1_active_only_events",
-    f"""SELECT issuer_cik, owner_cik, transaction_date, count(*) AS events, sum(lots) AS lots FROM (SELECT issuer_cik, owner_cik, transaction_date, security_title, direct_indirect_code, accession_number, count(*) AS lots
+    f"""SELECT issuer_cik, owner_cik, transaction_date, count(*) AS events, CAST(sum(lots) AS BIGINT) AS lots FROM (SELECT issuer_cik, owner_cik, transaction_date, security_title, direct_indirect_code, accession_number, count(*) AS lots
      FROM (SELECT m.*, NOT is_amendment AND status='active' AND ({_AMEND}) IN (SELECT ({_AMEND}) FROM lots WHERE is_amendment) AS gone FROM {_MARKED} m)
      WHERE is_qualifying_purchase AND status='active' AND NOT gone GROUP BY ALL) GROUP BY 1,2,3""",
     ("lots",),

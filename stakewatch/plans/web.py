@@ -896,8 +896,7 @@ def e1(spark, sf_dir):
 )
 def e1_counts(spark, sf_dir):
     return _dossiers(spark, sf_dir).select(
-        "issuer_cik", F.size("purchase_events").alias("purchase_events"), F.size("qualifying_transactions").alias("qualifying_transactions"),
-        F.size("buyers").alias("buyers"), F.col("latest_event_signal.event_id").alias("latest_event"),
+        "issuer_cik", *[F.size(c).cast("bigint").alias(c) for c in ("purchase_events", "qualifying_transactions", "buyers")], F.col("latest_event_signal.event_id").alias("latest_event"),
     )
 
 
