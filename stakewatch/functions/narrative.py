@@ -1,4 +1,7 @@
-"""Sentences about purchases."""
+"""Sentences about purchases.
+
+The sentences and the limits that choose between them are fixed values of the page texts.
+"""
 
 from __future__ import annotations
 

@@ -22,7 +22,7 @@ def section_number(category: Column) -> Column:
 
 
 def category_rules() -> dict[str, tuple[Column, Column]]:
-    """Category -> (qualifies, score)."""
+    """Category -> (qualifies, score). The limits and shares are fixed values of the ranking definitions."""
     conviction, behavior = number("conviction_score"), number("behavior_change_score")
     first = F.coalesce("first_ever_purchase", F.lit(False))
     depth = F.when(F.col("history_depth").isin("usable", "deep"), F.lit(100.0)).otherwise(F.lit(40.0))
@@ -70,6 +70,7 @@ def category_rules() -> dict[str, tuple[Column, Column]]:
 
 
 def headline(category: Column) -> Column:
+    """Headline of a ranked purchase; the texts are fixed values."""
     role = role_label(F.col("normalized_roles"))
     buyers, gap = number("buyer_count"), number("days_since_previous_purchase")
     own, multiple = number("ownership_increase_percent"), number("purchase_multiple")

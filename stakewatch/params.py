@@ -1,6 +1,7 @@
 """Parameters of the scoring jobs.
 
-The weights are this project's own choice: the material the engine was surveyed from ships none.
+The weights of the behaviour and conviction scores, the penalties, the role values, the eligibility limits and the
+role aliases are this project's own choice: the material the engine was surveyed from ships none.
 Every group of weights sums to one (checked by ``operators.quality.check_weights``).
 """
 
@@ -56,6 +57,7 @@ ROLE_QUALITY = {
     "other_officer": 45.0,
 }
 
+# Shares of the evidence score on the discovery page.
 EVIDENCE_WEIGHTS = {
     "conviction": 0.34,
     "behavior_change": 0.18,
@@ -97,6 +99,7 @@ ELIGIBILITY = {
     "excluded_types": ["etf", "fund", "warrant", "preferred"],
 }
 
+# Windows in days and in price sessions, page limits.
 CAMPAIGN_GAP_WEEKDAYS = 5
 CLUSTER_DAYS = 14
 VELOCITY_DAYS = (30, 90, 180)
@@ -110,6 +113,7 @@ STORY_MARKERS = 250
 # Transaction codes of the public ownership forms that count as known.
 TRANSACTION_CODES = list("ACDFGIJKLMPSUWXZ")
 
+# Ranking categories in the order of the discovery sections.
 CATEGORIES = [
     "breaking_habits",
     "quiet_buyers",
