@@ -16,25 +16,71 @@ PERSON = ["issuer_cik", "insider_id"]
 PERSON_DAY = [*PERSON, "transaction_date"]
 
 
-def with_positions(events: DataFrame) -> DataFrame:
-    """Adds the place of a purchase among those of its own day (by event id) and the day's running value."""
-    same_day = Window.partitionBy(*PERSON_DAY).orderBy("event_id")
-    so_far = same_day.rowsBetween(Window.unboundedPreceding, 0)
-    before = same_day.rowsBetween(Window.unboundedPreceding, -1)
+DAY_LIMIT = 200_000
+
+
+def has_large_days(events: DataFrame, limit: int = DAY_LIMIT) -> bool:
+    """Whether one person has more purchases in one issuer on one day than a task should sort."""
+    sizes = events.groupBy(*PERSON_DAY).count()
+    return not sizes.filter(F.col("count") > limit).isEmpty()
+
+
+def with_positions(events: DataFrame, split_days: bool = True) -> DataFrame:
+    """Adds the place of a purchase among those of its own day (by event id) and the day's running figures.
+
+    Event ids are hashes, so their first two digits cut a day into 256 even parts that keep its order. With
+    ``split_days`` each part is numbered on its own and then moved by what the parts before it hold.
+    """
+    part = F.substring("event_id", 1, 2) if split_days else F.lit("")
+    keyed = events.withColumn("_part", part)
+    inside = Window.partitionBy(*PERSON_DAY, "_part").orderBy("event_id")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
     value = F.coalesce("purchase_value", F.lit(0.0))
     positive = F.when(value > 0, value)
     log_value = F.log1p(value)
+    placed = keyed.withColumn("_day_place", F.row_number().over(inside) - 1).withColumns(
+        {
+            "_day_value": F.sum(value).over(so_far),
+            "_day_logs": F.sum(log_value).over(so_far),
+            "_day_placed_logs": F.sum(F.col("_day_place") * log_value).over(so_far),
+            "_day_positive": F.coalesce(F.count_if(value > 0).over(before), F.lit(0)),
+            "_day_largest": F.max(positive).over(before),
+        }
+    )
+    if not split_days:
+        return placed.drop("_part")
+    parts = keyed.groupBy(*PERSON_DAY, "_part").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(value).alias("v"), F.sum(log_value).alias("l"), F.count_if(value > 0).alias("c"), F.max(positive).alias("m")
+    )
+    earlier = Window.partitionBy(*PERSON_DAY).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    moves = parts.select(
+        *PERSON_DAY, "_part",
+        *[F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(f"_before_{x}") for x in ("n", "v", "l", "c")],
+        F.max("m").over(earlier).alias("_before_m"),
+    )
+    # Sum of place times log up to a purchase: what its own part gives, moved by the places before the part; what the
+    # parts before give is the same sum at their ends.
+    moved = placed.join(moves, [*PERSON_DAY, "_part"])
+    own_part = F.col("_day_placed_logs") + F.col("_before_n") * F.col("_day_logs")
+    ends = placed.groupBy(*PERSON_DAY, "_part").agg(F.max(F.struct("_day_place", "_day_logs", "_day_placed_logs")).alias("e"))
+    ends = ends.join(moves.select(*PERSON_DAY, "_part", "_before_n"), [*PERSON_DAY, "_part"]).select(
+        *PERSON_DAY, "_part", (F.col("e._day_placed_logs") + F.col("_before_n") * F.col("e._day_logs")).alias("_part_sum")
+    )
+    ends = ends.select(*PERSON_DAY, "_part", F.coalesce(F.sum("_part_sum").over(earlier), F.lit(0.0)).alias("_before_p"))
     return (
-        events.withColumn("_day_place", F.row_number().over(same_day) - 1)
+        moved.join(ends, [*PERSON_DAY, "_part"])
         .withColumns(
             {
-                "_day_value": F.sum(value).over(so_far),
-                "_day_logs": F.sum(log_value).over(so_far),
-                "_day_placed_logs": F.sum(F.col("_day_place") * log_value).over(so_far),
-                "_day_positive": F.coalesce(F.count_if(value > 0).over(before), F.lit(0)),
-                "_day_largest": F.max(positive).over(before),
+                "_day_placed_logs": own_part + F.col("_before_p"),
+                "_day_place": (F.col("_day_place") + F.col("_before_n")).cast("int"),
+                "_day_value": F.col("_day_value") + F.col("_before_v"),
+                "_day_logs": F.col("_day_logs") + F.col("_before_l"),
+                "_day_positive": F.col("_day_positive") + F.col("_before_c"),
+                "_day_largest": F.greatest("_day_largest", "_before_m"),
             }
         )
+        .drop("_part", "_before_n", "_before_v", "_before_l", "_before_c", "_before_m", "_before_p")
     )
 
 
@@ -134,9 +180,12 @@ def history_quality(count: Column) -> Column:
     return F.when(count == 0, F.lit("limited")).when(count <= 2, F.lit("acceptable")).otherwise(F.lit("high"))
 
 
-def with_daily_history(events: DataFrame) -> DataFrame:
-    """Purchases with their day's causal columns and their position among the person's purchases."""
-    placed = with_positions(events)
+def with_daily_history(events: DataFrame, split_days: bool = True) -> DataFrame:
+    """Purchases with their day's causal columns and their position among the person's purchases.
+
+    ``split_days=False`` saves a join; only for purchases checked by ``has_large_days``.
+    """
+    placed = with_positions(events, split_days)
     daily = daily_history(placed)
     joined = placed.join(daily, PERSON_DAY)
     count = F.col("prior_purchase_count")

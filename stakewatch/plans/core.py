@@ -13,7 +13,6 @@ from stakewatch.operators import prices as price_ops
 from stakewatch.operators import rankings as ranking_ops
 from stakewatch.operators import signals as signal_ops
 from stakewatch.operators.asof import match_sessions, nearest_session
-from stakewatch.operators.history import with_daily_history
 from stakewatch.plans import tables
 from stakewatch.plans.oracle import RULES, headline_sql, r, role_label_sql
 from stakewatch.plans.registry import query
@@ -281,17 +280,17 @@ def w1(spark, sf_dir):
     ("hist",),
 )
 def w2(spark, sf_dir):
-    return with_daily_history(tables.events(spark, sf_dir)).select("event_id", *params.HISTORY_DAYS)
+    return tables.daily_histories(tables.events(spark, sf_dir)).select("event_id", *params.HISTORY_DAYS)
 
 
 @query("w3_days_since_previous", "SELECT event_id, days_since_previous_purchase FROM hist", ("hist",))
 def w3(spark, sf_dir):
-    return with_daily_history(tables.events(spark, sf_dir)).select("event_id", "days_since_previous_purchase")
+    return tables.daily_histories(tables.events(spark, sf_dir)).select("event_id", "days_since_previous_purchase")
 
 
 @query("w4_prior_gaps", "SELECT event_id, median_prior_gap_days, longest_prior_gap_days FROM hist", ("hist",))
 def w4(spark, sf_dir):
-    return with_daily_history(tables.events(spark, sf_dir)).select("event_id", "median_prior_gap_days", "longest_prior_gap_days")
+    return tables.daily_histories(tables.events(spark, sf_dir)).select("event_id", "median_prior_gap_days", "longest_prior_gap_days")
 
 
 @query("w5_prior_value_percentile", f"SELECT event_id, {rs('prior_purchase_value_percentile')} FROM hist", ("hist",))
@@ -307,7 +306,7 @@ def w5(spark, sf_dir):
     ("hist",),
 )
 def w6(spark, sf_dir):
-    return with_daily_history(tables.events(spark, sf_dir)).select("event_id", "history_depth", "history_quality", "quality_flags")
+    return tables.daily_histories(tables.events(spark, sf_dir)).select("event_id", "history_depth", "history_quality", "quality_flags")
 
 
 @query("a26_history_depth_distribution", "SELECT history_depth, count(*) AS purchases FROM hist GROUP BY 1", ("hist",))

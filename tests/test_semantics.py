@@ -40,6 +40,11 @@ def purchases(spark, rows):
     )
 
 
+def histories(events):
+    """Full histories by the shorter plan; the ways for large groups and days have their own tests."""
+    return signals.complete_histories(with_daily_history(events, False), False)
+
+
 def test_lots_become_one_event(spark):
     row = events.purchase_events(lots(spark)).first()
     assert (row.lot_count, row.purchase_value, row.total_shares) == (2, 160.0, 15.0)
@@ -79,11 +84,11 @@ def test_split_factor_after_a_day(spark):
 
 def test_history_depth_and_no_look_ahead(spark):
     rows = [(str(i), date(2020, 1, i + 1), 100 + i) for i in range(9)]
-    got = {r.event_id: r for r in signals.executive_histories(purchases(spark, rows)).collect()}
+    got = {r.event_id: r for r in histories(purchases(spark, rows)).collect()}
     assert [got[i].history_depth for i in ("0", "2", "8")] == ["no_history", "sparse", "deep"]
     assert got["0"].prior_purchase_count == 0 and got["1"].prior_median_purchase_value == 100.0
     # Dropping everything later changes nothing earlier.
-    cut = {r.event_id: r for r in signals.executive_histories(purchases(spark, rows[:5])).collect()}
+    cut = {r.event_id: r for r in histories(purchases(spark, rows[:5])).collect()}
     for event_id, row in cut.items():
         for name in row.asDict():
             if name not in ("group_size", "_first_gap"):
@@ -92,7 +97,7 @@ def test_history_depth_and_no_look_ahead(spark):
 
 def test_same_day_purchases_count_by_position_only(spark):
     rows = [("a", date(2020, 1, 1), 100), ("b", date(2020, 1, 1), 300), ("c", date(2020, 2, 1), 200)]
-    got = {r.event_id: r for r in signals.executive_histories(purchases(spark, rows)).withColumns(signals.abnormality_columns()).collect()}
+    got = {r.event_id: r for r in histories(purchases(spark, rows)).withColumns(signals.abnormality_columns()).collect()}
     assert got["b"].prior_purchase_count == 0 and got["b"].purchase_multiple == 3.0
     assert got["c"].prior_purchase_count == 2 and got["c"].median_prior_gap_days == 0.0
     assert got["b"].purchase_value_90d == 400.0 and got["b"].purchase_count_90d == 2
@@ -100,7 +105,7 @@ def test_same_day_purchases_count_by_position_only(spark):
 
 def test_ten_times_the_median(spark):
     rows = [(str(i), date(2020, 1, i + 1), 100) for i in range(3)] + [("z", date(2020, 3, 1), 1000)]
-    got = signals.executive_histories(purchases(spark, rows)).withColumns(signals.abnormality_columns()).filter("event_id = 'z'").first()
+    got = histories(purchases(spark, rows)).withColumns(signals.abnormality_columns()).filter("event_id = 'z'").first()
     assert got.purchase_multiple == 10.0 and got.robust_z == 10.0 and got.abnormality_quality == "high"
 
 
@@ -113,7 +118,7 @@ def test_silence_after_five_years(spark):
 
 def test_acceleration_needs_three(spark):
     rows = [(str(i), date(2020, i + 1, 1), v) for i, v in enumerate([100, 200, 500])]
-    scored = with_daily_history(purchases(spark, rows)).withColumns(signals.acceleration_columns())
+    scored = with_daily_history(purchases(spark, rows), False).withColumns(signals.acceleration_columns())
     got = {r.event_id: r for r in scored.collect()}
     assert got["0"].acceleration_score == 0.0 and got["1"].acceleration_score == 0.0
     assert got["2"].acceleration_quality == "high" and got["2"].acceleration_score > 50
@@ -345,7 +350,7 @@ def test_blocked_statistics_equal_the_arrays(spark):
     table = spark.createDataFrame(
         rows, "issuer_cik string, insider_id string, event_id string, transaction_date date, purchase_value double, ownership_increase_percent double"
     )
-    placed = with_daily_history(table)
+    placed = with_daily_history(table, False)
     want = {(r.issuer_cik, r.sequence): r for r in array_statistics(placed).collect()}
     got = {(r.issuer_cik, r.sequence): r for r in blocked_statistics(placed, block_rows=16, ranges=12).collect()}
     assert want.keys() == got.keys()
@@ -359,9 +364,23 @@ def test_large_and_small_groups_together(spark):
 
     rows = [(f"e{i:03d}", date(2020, 1 + i % 12, 1 + i % 28), 50 + (i * 37) % 91) for i in range(40)]
     other = purchases(spark, rows[:6]).withColumn("insider_id", F.lit("3"))
-    placed = with_daily_history(purchases(spark, rows).unionByName(other))
+    placed = with_daily_history(purchases(spark, rows).unionByName(other), False)
     assert has_large_groups(placed, 10) and not has_large_groups(placed, 40)
     want = {(r.insider_id, r.sequence): r for r in array_statistics(placed).collect()}
     got = {(r.insider_id, r.sequence): r for r in with_prior_statistics(placed, limit=10).collect()}
     assert want.keys() == got.keys()
     assert all(got[k][n] == pytest.approx(want[k][n], abs=1e-9) for k in want for n in STATISTICS)
+
+
+def test_a_split_day_gives_the_same_positions(spark):
+    import hashlib
+
+    days = [date(2020, 1, 1)] * 60 + [date(2020, 1, 1 + i % 9) for i in range(30)]
+    rows = [(hashlib.sha256(str(i).encode()).hexdigest()[:24], d, 10 + (i * 37) % 91) for i, d in enumerate(days)]
+    table = purchases(spark, rows)
+    whole = {r.event_id: r.asDict() for r in with_daily_history(table, split_days=False).collect()}
+    split = {r.event_id: r.asDict() for r in with_daily_history(table, split_days=True).collect()}
+    assert whole.keys() == split.keys()
+    for key, row in whole.items():
+        for name, value in row.items():
+            assert split[key][name] == (pytest.approx(value, abs=1e-9) if isinstance(value, float) else value), name
