@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a batch handed to Python, and bytes of text that one vectorised step works on (a longer text is one step).
-BATCH_ROWS = 512
+BATCH_ROWS = 128
 STEP_BYTES = 1 << 20
 
 U64 = np.uint64
@@ -68,14 +68,14 @@ def map_batches(frame: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.R
     return frame.mapInArrow(run, schema)
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cuts a batch into runs of rows with at most ``STEP_BYTES`` of text, at least one row each."""
+def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch into runs of rows with at most ``limit`` bytes of text, at least one row each."""
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for row, size in enumerate(sizes.tolist()):
-        if row > start and held + size > STEP_BYTES:
+        if row > start and held + size > limit:
             yield batch.slice(start, row - start)
             start, held = row, 0
         held += size

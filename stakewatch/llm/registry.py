@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from stakewatch.llm.byte_bpe import op8_byte_bpe
+from stakewatch.llm.token_files import op3_token_files
 
 QUERIES = {
+    "op3_token_files": op3_token_files,
     "op8_byte_bpe": op8_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
