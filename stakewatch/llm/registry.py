@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from stakewatch.llm import quality_rules
 from stakewatch.llm.byte_bpe import op8_byte_bpe
+from stakewatch.llm.decontaminate import op9_decontaminate
 from stakewatch.llm.near_dedup import op10_minhash
 from stakewatch.llm.token_files import op3_token_files
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_decontaminate": op9_decontaminate,
     "op10_minhash": op10_minhash,
 }
 ORACLES: dict[str, str] = {
