@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from stakewatch.llm import quality_rules
+from stakewatch.llm import line_dedup, quality_rules
 from stakewatch.llm.byte_bpe import op8_byte_bpe
 from stakewatch.llm.decontaminate import op9_decontaminate
 from stakewatch.llm.near_dedup import op10_minhash
 from stakewatch.llm.token_files import op3_token_files
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_token_files": op3_token_files,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op8_byte_bpe": op8_byte_bpe,
@@ -16,5 +17,6 @@ QUERIES = {
     "op10_minhash": op10_minhash,
 }
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op4_quality_rules": quality_rules.ORACLE_SQL,
 }
