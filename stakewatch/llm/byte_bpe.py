@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stakewatch.llm.common import PieceCache, SliceHash, list_array, map_batches, ragged, table, text_bytes, text_slices
+from stakewatch.llm.common import PieceCache, SliceHash, flat_lists, kept_in_worker, list_array, map_batches, ragged, table, text_bytes, text_slices
 
 #: Classes of code points.
 LETTER, NUMBER, OTHER, SPACE, BLANK = range(5)
@@ -145,7 +145,7 @@ class Merger:
         self.ranks, self.keys, self.merged = ranks, keys, merged
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
 
-    def __call__(self, pieces: list[bytes]) -> list[list[int]]:
+    def __call__(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         out: list[list[int] | None] = [None] * len(pieces)
         several = []
         for i, piece in enumerate(pieces):
@@ -157,7 +157,7 @@ class Merger:
                 several.append(i)
         for i, ids in zip(several, self.merge_many([pieces[i] for i in several]), strict=True):
             out[i] = ids
-        return out
+        return flat_lists(out)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 20 | right
@@ -280,13 +280,12 @@ def encode(frame: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "
         content = file.read()
     ranks, pairs, classes = zlib.compress(content), mergeable_pairs(parse_ranks(content)), code_point_classes()
     frame = frame.select(F.col(key), F.col(text).alias("text"))
-    made: list[Encoder] = []
+    version = zlib.crc32(content)
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Encoder(ranks, pairs, classes))
+        encoder = kept_in_worker(("byte BPE encoder", version), lambda: Encoder(ranks, pairs, classes))
         for part in text_slices(batch):
-            ids, offsets, counts = made[0].encode(part.column("text"))
+            ids, offsets, counts = encoder.encode(part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column(key), list_array(pa.array(ids), counts), list_array(pa.array(offsets), counts)], [key, "ids", "offsets"])
 
     return map_batches(frame, step, f"{key} {frame.schema[key].dataType.simpleString()}, ids array<int>, offsets array<int>")
@@ -295,8 +294,8 @@ def encode(frame: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "
 def decode(frame: DataFrame, ranks_path: str, key: str = "doc_id") -> DataFrame:
     """Adds ``decoded``, the bytes that the ids stand for, each put at its offset; keeps ``ids``."""
     with open(ranks_path, "rb") as file:
-        ranks = zlib.compress(file.read())
-    made: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        content = file.read()
+    ranks, version = zlib.compress(content), zlib.crc32(content)
 
     def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         by_id = sorted((rank, token) for token, rank in parse_ranks(zlib.decompress(ranks)).items())
@@ -306,9 +305,7 @@ def decode(frame: DataFrame, ranks_path: str, key: str = "doc_id") -> DataFrame:
         return np.frombuffer(b"".join(token for _, token in by_id), np.uint8), np.cumsum(lengths) - lengths, lengths
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(tables())
-        flat, begins, lengths = made[0]
+        flat, begins, lengths = kept_in_worker(("byte BPE decoder", version), tables)
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
             lists, places = part.column("ids"), part.column("offsets")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,7 +13,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Rows of a batch handed to Python, and bytes of text that one vectorised step works on (a longer text is one step).
 BATCH_ROWS = 128
@@ -45,11 +45,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[app]
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
+def written(frame: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """The rows as a table in the shared folder: cuts the lineage and survives lost executors."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    frame.write.option("compression", "zstd").parquet(path)
+    frame.write.option("compression", compression).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
@@ -57,6 +57,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept_in_worker(key: object, make: Callable[[], object]) -> object:
+    """An object that a Python worker makes once and keeps between tasks: vocabularies, tables, caches of bounded size.
+
+    It hangs on a module of the process, since functions that come by value have no module of their own there."""
+    holder = sys.modules.setdefault("_stakewatch_worker", types.ModuleType("_stakewatch_worker"))
+    made = holder.__dict__.setdefault("made", {})
+    if key not in made:
+        made[key] = make()
+    return made[key]
+
+
 def map_batches(frame: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Applies ``step`` to every batch of rows."""
     prepare(frame.sparkSession)
@@ -181,36 +192,41 @@ def list_array(values: pa.Array, lengths: np.ndarray) -> pa.Array:
 
 
 class PieceCache:
-    """Ids of pieces by hash; misses are made in one call. Empties itself above ``limit`` pieces."""
+    """Ids of pieces by hash. ``make`` gets the pieces that are missing and gives their ids, one after the other, and how
+    many each has. Empties itself above ``limit`` pieces."""
 
-    def __init__(self, make: Callable[[list[bytes]], list[list[int]]], limit: int = 400_000) -> None:
+    def __init__(self, make: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 1_200_000) -> None:
         self.make, self.limit = make, limit
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.keys, self.slots = np.zeros(0, U64), np.zeros(0, np.int64)
         self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def look_up(self, hashes: np.ndarray, piece: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, one after the other, and how many each has; ``piece`` gives the bytes at an index."""
-        unique, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.slot) > self.limit:
+        unique, back = np.unique(hashes, return_inverse=True)
+        if len(self.keys) > self.limit:
             self.clear()
-        keys = unique.tolist()
-        missing = [i for i, key in enumerate(keys) if key not in self.slot]
-        if missing:
-            made = self.make([piece(int(where[i])) for i in missing])
-            lengths = np.fromiter(map(len, made), np.int64, len(made))
-            at = len(self.ids) + np.cumsum(lengths) - lengths
-            base = len(self.starts)
-            self.slot.update((keys[i], base + n) for n, i in enumerate(missing))
-            self.starts, self.lengths = np.concatenate([self.starts, at]), np.concatenate([self.lengths, lengths])
-            self.ids = np.concatenate([self.ids, np.fromiter((x for ids in made for x in ids), np.int32, int(lengths.sum()))])
-        slots = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))[back]
+        at = np.searchsorted(self.keys, unique)
+        known = np.zeros(len(unique), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == unique[inside]
+        missing = np.flatnonzero(~known)
+        if len(missing):
+            where = np.empty(len(unique), np.int64)
+            where[back] = np.arange(len(hashes))
+            ids, lengths = self.make([piece(i) for i in where[missing].tolist()])
+            slots = len(self.starts) + np.arange(len(missing))
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+            self.lengths, self.ids = np.concatenate([self.lengths, lengths]), np.concatenate([self.ids, ids.astype(np.int32)])
+            self.keys, self.slots = np.insert(self.keys, at[missing], unique[missing]), np.insert(self.slots, at[missing], slots)
+            at = np.searchsorted(self.keys, unique)
+        slots = self.slots[at][back]
         lengths = self.lengths[slots]
         return self.ids[ragged(self.starts[slots], lengths)], lengths
 
 
-def with_text(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Only the two columns that most operators read."""
-    return frame.select(F.col(key), F.col(text))
+def flat_lists(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter((x for one in lists for x in one), np.int32, int(lengths.sum())), lengths

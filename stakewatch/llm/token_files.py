@@ -18,6 +18,7 @@ stay in one part, next to each other, and each row counts; an empty table gives
 from __future__ import annotations
 
 import os
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,9 +33,12 @@ from stakewatch.llm.common import (
     PieceCache,
     SliceHash,
     byte_table,
+    flat_lists,
+    kept_in_worker,
     list_array,
     map_batches,
     prepare,
+    ragged,
     shared_folder,
     table,
     text_bytes,
@@ -44,6 +48,10 @@ from stakewatch.llm.common import (
 )
 
 END_ID = 1
+#: ASCII punctuation that always ends a word; the apostrophe and the characters of special tokens are left out.
+MARKS = b"!\"#$%&()*+,-./:;=?@[]^_`{}~"
+#: Words sent to the library as one text.
+RUN = 1000
 MAX_VOCABULARY = 1 << 20
 #: Bytes of text in one block, or a single longer text.
 BLOCK_BYTES = 1 << 17
@@ -54,7 +62,8 @@ class WordEncoder:
 
     Pieces are cut at ASCII white space and between an ASCII letter and ASCII punctuation other than the apostrophe:
     the vocabulary's own rule ends a word at all these places and drops the white space. Pieces of pure ASCII are
-    looked up in lower case, as the vocabulary lower-cases them; all others are left as they are.
+    looked up in lower case, as the vocabulary lower-cases them; all others, and those that may hold a special token, are
+    left as they are.
     """
 
     def __init__(self, content: bytes) -> None:
@@ -67,17 +76,58 @@ class WordEncoder:
         self.cache = PieceCache(self.make)
         self.space = byte_table(lambda b: b == 32 or 9 <= b <= 13)
         self.letter = byte_table(lambda b: 65 <= b <= 90 or 97 <= b <= 122)
-        self.mark = byte_table(lambda b: chr(b) in "!\"#$%&()*+,-./:;=?@[]^_`{}~")
-
-    def make(self, pieces: list[bytes]) -> list[list[int]]:
-        return [found.ids for found in self.tokenizer.encode_batch_fast([piece.decode("utf-8") for piece in pieces], add_special_tokens=False)]
+        self.mark = byte_table(lambda b: b in MARKS)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def make(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces that are one word of the vocabulary's rule each are sent as running text and told apart by the ids that
+        end words, as long as these are as many as the pieces; all others are sent one by one."""
+        alone, together, texts = [], [], []
+        for i, piece in enumerate(pieces):
+            text = self.one_word(piece)
+            if text is None:
+                alone.append(i)
+            else:
+                together.append(i)
+                texts.append(text)
+        runs = [(together[i : i + RUN], texts[i : i + RUN]) for i in range(0, len(texts), RUN)]
+        found = []
+        for (indices, _), coded in zip(runs, self.tokenizer.encode_batch_fast([" ".join(text) for _, text in runs], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, np.int32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(indices):
+                found.append((np.array(indices), ids, np.diff(ends, prepend=0)))
+            else:
+                alone += indices
+        coded = self.tokenizer.encode_batch_fast([pieces[i].decode("utf-8") for i in alone], add_special_tokens=False)
+        found.append((np.array(alone, np.int64), *flat_lists([one.ids for one in coded])))
+        lengths = np.zeros(len(pieces), np.int64)
+        for indices, _, own in found:
+            lengths[indices] = own
+        starts = np.cumsum(lengths) - lengths
+        out = np.zeros(int(lengths.sum()), np.int32)
+        for indices, ids, own in found:
+            out[ragged(starts[indices], own)] = ids
+        return out, lengths
+
+    def one_word(self, piece: bytes) -> str | None:
+        """The piece in lower case, if it is only letters or only marks and stays as it is under normalisation."""
+        if piece.isascii():
+            return piece.decode("ascii") if piece.isalpha() or not piece.translate(None, MARKS) else None
+        text = piece.decode("utf-8")
+        if not text.isalpha() or max(text) >= "\u0250" or not unicodedata.is_normalized("NFC", text):
+            return None
+        text = text.lower()
+        return text if text.isalpha() and unicodedata.is_normalized("NFC", text) else None
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = text_bytes(column)
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(column), np.int64)
         high = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(data >= 128, out=high[1:])
+        np.cumsum((data >= 128) | (data == ord("|")), out=high[1:])
         letter, mark = self.letter[data], self.mark[data]
         starts, ends = word_starts_ends(~self.space[data], offsets)
         cuts = np.flatnonzero((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) + 1
@@ -104,29 +154,39 @@ class WordEncoder:
 
 
 def token_blocks(frame: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Blocks of neighbouring rows of each partition: ``part``, ``block``, ``start``, ``keys``, ``counts`` and ``ids``,
-    with the end id after every text."""
+    """Blocks of neighbouring rows of each partition: ``part``, ``block``, ``start``, ``keys``, ``counts`` and ``ids``
+    (little-endian, of ``width`` bytes each), with the end id after every text."""
     with open(tokenizer_path, "rb") as file:
         content = zlib.compress(file.read())
+    version = zlib.crc32(content)
     kind = frame.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(content)
+        encoder = kept_in_worker(("word encoder", version), lambda: WordEncoder(content))
+        width = 2 if len(encoder.ends_word) <= 1 << 16 else 4
         held = block = 0
         for batch in batches:
-            for rows in text_slices(batch, limit=BLOCK_BYTES):
-                ids, counts = encoder.encode(rows.column("text"))
-                ids = np.insert(ids, np.cumsum(counts), END_ID).astype(np.int32)
-                one = lambda x: list_array(x, np.array([len(x)]))
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("part")[:1], pa.array([block], pa.int32()), pa.array([held], pa.int64()), one(rows.column("key")), one(pa.array((counts + 1).astype(np.int32))), one(pa.array(ids))],
-                    ["part", "block", "start", "keys", "counts", "ids"],
-                )
-                held, block = held + len(ids), block + 1
+            for step in text_slices(batch):
+                coded, counts = encoder.encode(step.column("text"))
+                coded = np.insert(coded, np.cumsum(counts), END_ID).astype(f"<u{width}")
+                counts, row, place = (counts + 1).astype(np.int32), 0, 0
+                for rows in text_slices(step, limit=BLOCK_BYTES):
+                    own = counts[row : row + rows.num_rows]
+                    size = int(own.sum())
+                    one = lambda x: list_array(x, np.array([len(x)]))
+                    yield pa.RecordBatch.from_arrays(
+                        [rows.column("part")[:1], pa.array([block], pa.int32()), pa.array([held], pa.int64()), one(rows.column("key")), one(pa.array(own)), pa.array([width], pa.int32()), pa.array([coded[place : place + size].tobytes()])],
+                        ["part", "block", "start", "keys", "counts", "width", "ids"],
+                    )
+                    held, block, row, place = held + size, block + 1, row + rows.num_rows, place + size
 
     prepare(frame.sparkSession)
     numbered = frame.select(F.spark_partition_id().alias("part"), F.col(key).alias("key"), F.col(text).alias("text"))
-    return numbered.mapInArrow(run, f"part int, block int, start long, keys array<{kind}>, counts array<int>, ids array<int>")
+    return numbered.mapInArrow(run, f"part int, block int, start long, keys array<{kind}>, counts array<int>, width int, ids binary")
+
+
+def plain_ids(batch: pa.RecordBatch, row: int) -> np.ndarray:
+    return np.frombuffer(batch.column("ids")[row].as_py(), f"<u{batch.column('width')[row].as_py()}")
 
 
 def frequency_codes(blocks: DataFrame) -> DataFrame:
@@ -135,14 +195,15 @@ def frequency_codes(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            found = np.bincount(batch.column("ids").flatten().to_numpy(), minlength=len(counts))
-            found[: len(counts)] += counts
-            counts = found
+            for row in range(batch.num_rows):
+                found = np.bincount(plain_ids(batch, row), minlength=len(counts))
+                found[: len(counts)] += counts
+                counts = found
         ids = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(counts[ids])], ["id", "n"])
 
     prepare(blocks.sparkSession)
-    counted = blocks.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = blocks.select("width", "ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     rows = sorted((-row.n, row.id) for row in counted.limit(MAX_VOCABULARY + 1).collect())
     if len(rows) > MAX_VOCABULARY:
         raise ValueError("more distinct ids than a vocabulary may have")
@@ -189,12 +250,12 @@ def _codes(codes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def write_files(blocks: DataFrame, codes: DataFrame, path: str) -> None:
     """Writes the blocks with their ids packed, a folder for each part, and the codes below ``path``."""
     by_id, _ = _codes(codes)
-    kept = [name for name in blocks.columns if name != "ids"]
+    kept = [name for name in blocks.columns if name not in ("width", "ids")]
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
-            control, data = pack(by_id[row.column("ids").flatten().to_numpy()])
+            control, data = pack(by_id[plain_ids(batch, i)])
             yield pa.RecordBatch.from_arrays([*(row.column(name) for name in kept), pa.array([control]), pa.array([data])], [*kept, "control", "data"])
 
     schema = ", ".join(f"{name} {blocks.schema[name].dataType.simpleString()}" for name in kept)
@@ -203,8 +264,9 @@ def write_files(blocks: DataFrame, codes: DataFrame, path: str) -> None:
     codes.coalesce(1).write.parquet(f"{path}/codes")
 
 
-def read_files(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
-    """Key (of type ``kind``), ``ids`` and ``start`` (ids of all rows before) of every stored row."""
+def read_files(spark: SparkSession, path: str, kind: str = "bigint", as_bytes: bool = False) -> DataFrame:
+    """Key (of type ``kind``), ``ids`` and ``start`` (ids of all rows before) of every stored row; the ids as an array, or as
+    bytes, little-endian, four each."""
     _, by_code = _codes(spark.read.parquet(f"{path}/codes"))
     blocks = spark.read.schema(f"start long, keys array<{kind}>, counts array<int>, control binary, data binary, part int").parquet(f"{path}/blocks")
     # One row per part: as many as there are files, so their running sum is the driver's work.
@@ -218,29 +280,26 @@ def read_files(spark: SparkSession, path: str, kind: str = "bigint") -> DataFram
             counts = batch.column("counts")[i].values.to_numpy()
             ids = by_code[unpack(batch.column("control")[i].as_py(), batch.column("data")[i].as_py(), int(counts.sum()))]
             start = begins[batch.column("part")[i].as_py()] + batch.column("start")[i].as_py() + np.cumsum(counts) - counts
-            yield pa.RecordBatch.from_arrays([batch.column("keys")[i].values, pa.array(start), list_array(pa.array(ids.astype(np.int32)), counts)], ["key", "start", "ids"])
+            if as_bytes:
+                places = np.append(0, np.cumsum(counts) * 4).astype(np.int32)
+                out = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(places.tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
+            else:
+                out = list_array(pa.array(ids.astype(np.int32)), counts)
+            yield pa.RecordBatch.from_arrays([batch.column("keys")[i].values, pa.array(start), out], ["key", "start", "ids"])
 
-    return map_batches(blocks, step, f"key {kind}, start long, ids array<int>")
+    return map_batches(blocks, step, f"key {kind}, start long, ids {'binary' if as_bytes else 'array<int>'}")
 
 
 def store(frame: DataFrame, tokenizer_path: str, path: str, key: str = "doc_id", text: str = "text") -> None:
     """Tokenises ``frame`` and writes its files in ascending order of the key, in as many parts as the session's shuffles have."""
     parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = frame.select(F.col(key), F.col(text)).repartitionByRange(parts, key).sortWithinPartitions(key)
-    blocks = written(token_blocks(ordered, tokenizer_path, key, text), "token-blocks")
+    blocks = written(token_blocks(ordered, tokenizer_path, key, text), "token-blocks", "lz4")
     write_files(blocks, frequency_codes(blocks), path)
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/llm/token-files-{uuid.uuid4().hex}"
     store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
-
-    def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lists = batch.column("ids")
-        counts = np.diff(lists.offsets.to_numpy())
-        ids = lists.flatten().to_numpy().astype("<u4")
-        ends = np.cumsum(counts)
-        sums = [zlib.crc32(ids[end - count : end].tobytes()) for end, count in zip(ends.tolist(), counts.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("start"), pa.array(counts.astype(np.int64)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return map_batches(read_files(spark, path), step, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    ids = F.col("ids")
+    return read_files(spark, path, as_bytes=True).select(F.col("key").alias("doc_id"), "start", (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.crc32(ids).alias("ids_crc32"))

@@ -13,7 +13,7 @@ from stakewatch.llm.token_files import END_ID, op3_token_files, pack, read_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
-    "The Cat's hat, it's 42nd!", "", None, " ", "caf\u00e9,N\u00cfVE J\u030c x\u0301,y", "''s 's!'s don't!\"re", "a" * 4000, "<|endoftext|> <|startoftext|>x",
+    "The Cat's hat, it's 42nd!", "", None, " ", "caf\u00e9,N\u00cfVE J\u030c x\u0301,y", "''s 's!'s don't!\"re", "a" * 4000, "<|endoftext|> <|startoftext|>x", "a.<|ENDOFTEXT|>,b <|endoftext|>.,b",
     "\u00a0a\u2003b\u0085c", "na.me@ex-ample.org (+1) 'LL 'Ll", "\u65e5\u672c\u8a9e, \U0001f642!", "I\u0307stanbul \u0130X", "tab\tline\nend", "A\u030angstr\u00f6m,A\u030a",
 ]
 
