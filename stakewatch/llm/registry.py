@@ -6,6 +6,7 @@ from stakewatch.llm import line_dedup, quality_rules
 from stakewatch.llm.byte_bpe import op8_byte_bpe
 from stakewatch.llm.decontaminate import op9_decontaminate
 from stakewatch.llm.language_id import op7_language_id
+from stakewatch.llm.licenses import op5_license_scan
 from stakewatch.llm.near_dedup import op10_minhash
 from stakewatch.llm.personal_data import op6_personal_data
 from stakewatch.llm.token_files import op3_token_files
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_token_files": op3_token_files,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_license_scan": op5_license_scan,
     "op6_personal_data": op6_personal_data,
     "op7_language_id": op7_language_id,
     "op8_byte_bpe": op8_byte_bpe,
