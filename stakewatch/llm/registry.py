@@ -5,6 +5,7 @@ from __future__ import annotations
 from stakewatch.llm import line_dedup, quality_rules
 from stakewatch.llm.byte_bpe import op8_byte_bpe
 from stakewatch.llm.decontaminate import op9_decontaminate
+from stakewatch.llm.html_text import op2_html_text
 from stakewatch.llm.language_id import op7_language_id
 from stakewatch.llm.licenses import op5_license_scan
 from stakewatch.llm.near_dedup import op10_minhash
@@ -13,6 +14,7 @@ from stakewatch.llm.token_files import op3_token_files
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_html_text": op2_html_text,
     "op3_token_files": op3_token_files,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_license_scan": op5_license_scan,
