@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Rows of a batch handed to Python, and bytes of text that one vectorised step works on (a longer text is one step).
 BATCH_ROWS = 128
@@ -68,7 +69,7 @@ def kept_in_worker(key: object, make: Callable[[], object]) -> object:
     return made[key]
 
 
-def map_batches(frame: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(frame: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """Applies ``step`` to every batch of rows."""
     prepare(frame.sparkSession)
 

@@ -11,7 +11,7 @@ document only.
 
 Defined results: a null text stays null and has no lines; an empty text is one line without words; lines are compared
 without ASCII white space at their ends; rows of the same ``doc_id`` are one document with the same text; rows without a
-site count for no site; a document may lose all its lines and then has an empty text; very long texts are read whole;
+site count for no site; rows without an id lose no lines; a document may lose all its lines and then has an empty text; very long texts are read whole;
 ties go to the smaller id, then the earlier line; an empty table gives an empty one; other columns stay as they are.
 """
 
@@ -62,7 +62,7 @@ def boilerplate(rows: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 def removals(rows: DataFrame, spread: DataFrame) -> DataFrame:
     """``doc_id`` and the numbers of its lines that go; at most as many as the document has lines."""
     found = rows.select("doc_id", "at", "h", "c").join(spread, ["h", "c"])
-    found = found.where(~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("at") == F.col("first.at"))))
+    found = found.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at"))))
     return found.groupBy("doc_id").agg(F.collect_set("at").alias("removed"))
 
 
