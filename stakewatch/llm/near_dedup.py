@@ -7,8 +7,9 @@
    many shingles that both must have that many shared ones. This bound is exact and keeps families that only share a
    passage from being compared at all.
 4. Posts are ordered by rarity; of a class's coordinates only the rarest ``COORDINATES - MATCHES + 1`` are merged, which
-   two signatures with ``MATCHES`` collisions cannot avoid having in common. Two rounds compare every class with one
-   pivot of each of its posts only, and what links is one component from then on. The last round compares, in each
+   two signatures with ``MATCHES`` collisions cannot avoid having in common. The first round compares every class
+   with one pivot of each of its posts only, the one with the smallest share of shingles of its own (the least edited of a
+   family), and what links is one component from then on. The last round compares, in each
    post, whatever is not in the post's largest component with everything of another component: links inside a component
    cannot change the result, so a group of copies of any size is never compared pair by pair.
 5. Collisions are counted on the whole signatures; pairs above the threshold are confirmed on the full sets.
@@ -16,7 +17,7 @@
 A pair at exactly the similarity limit has fewer than ``MATCHES`` collisions in less than one of 10^9 cases.
 
 Defined results: a null or blank text has an empty set, links with nothing and is its own component; repeated rows of one
-``doc_id`` get the same row each; fewer than five words are one shingle; ties go to the smallest id; an empty table gives
+``doc_id`` get the same row each; a row without an id is linked to its equals but stands for none; fewer than five words are one shingle; ties go to the smallest id; an empty table gives
 an empty one; other columns are not read.
 """
 
@@ -29,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stakewatch.llm.common import U64, SliceHash, byte_table, list_array, lower_ascii, map_batches, mixed, shingle_hashes, table, text_bytes, text_slices, word_starts_ends, written
+from stakewatch.llm.common import U64, SliceHash, byte_table, kept_in_worker, list_array, lower_ascii, map_batches, mixed, shingle_hashes, table, text_bytes, text_slices, word_starts_ends, written
 
 SHINGLE = 5
 SIMILARITY = 85  # percent
 COORDINATES = 48
 MATCHES = 22
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 1
 
 
 class Shingler:
@@ -82,20 +83,17 @@ class Shingler:
 
 def shingled(frame: DataFrame) -> DataFrame:
     """``doc_id``, ``n``, two hashes of the set and ``posts``, the signature with each value mixed with its coordinate."""
-    made: list[Shingler] = []
-
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Shingler())
+        shingler = kept_in_worker("shingler", Shingler)
         for part in text_slices(batch):
-            values, counts = made[0].sets(part.column("text"))
+            values, counts = shingler.sets(part.column("text"))
             full = counts > 0
             heads = (np.cumsum(counts) - counts)[full]
             sums = np.zeros((2, len(counts)), U64)
             if len(heads):
                 sums[0, full] = np.add.reduceat(mixed(values), heads)
                 sums[1, full] = np.add.reduceat(mixed(values ^ U64(0xA5A5A5A5A5A5A5A5)), heads)
-            posts = made[0].signatures(values, counts).view(np.int64).ravel()
+            posts = shingler.signatures(values, counts).view(np.int64).ravel()
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), list_array(pa.array(posts), np.where(full, COORDINATES, 0))],
                 ["doc_id", "n", "h1", "h2", "posts"],
@@ -106,13 +104,10 @@ def shingled(frame: DataFrame) -> DataFrame:
 
 def shingle_sets(frame: DataFrame) -> DataFrame:
     """``doc_id`` and its ``shingles``."""
-    made: list[Shingler] = []
-
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Shingler())
+        shingler = kept_in_worker("shingler", Shingler)
         for part in text_slices(batch):
-            values, counts = made[0].sets(part.column("text"))
+            values, counts = shingler.sets(part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), list_array(pa.array(values.view(np.int64)), counts)], ["doc_id", "shingles"])
 
     return map_batches(frame, step, "doc_id long, shingles array<long>")
@@ -178,17 +173,18 @@ def round_pairs(posts: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
         & (F.least("x.e", "y.e") >= needed(F.col("x.n"), F.col("y.n")))
     )
     if turn < PIVOT_ROUNDS:
-        pivot = F.min(F.struct(F.xxhash64(F.lit(turn), "doc_id").alias("order"), "doc_id", "component", "n", "e"))
+        edited = F.when(F.lit(turn) == 0, (F.col("n") - F.col("e")) / F.col("n")).otherwise(F.floor(25 * (F.col("n") - F.col("e")) / F.col("n")).cast("double"))
+        pivot = F.min(F.struct(edited.alias("edited"), F.xxhash64(F.lit(turn), "doc_id").alias("order"), "doc_id", "component", "n", "e"))
         pivots = posts.groupBy("post").agg(pivot.alias("pivot"), F.min("component").alias("low"), F.max("component").alias("high"))
         pairs = posts.alias("x").join(pivots.where("low <> high").select("post", "pivot.*").alias("y"), close)
     else:
         sizes = posts.groupBy("post", "component").agg(F.count("*").alias("size"))
         largest = sizes.groupBy("post").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-        several = posts.join(largest.select("post", F.col("top.component").alias("top")), "post").join(sets.select("doc_id", "prefix"), "doc_id")
+        several = posts.join(largest.select("post", F.col("top.component").alias("top")), "post").join(sets.select("doc_id", "prefix", "signature"), "doc_id")
         several = written(several, "open-posts")
         once = F.element_at(F.array_intersect("x.prefix", "y.prefix"), 1) == F.col("x.post")
         minor = (F.col("y.component") == F.col("y.top")) | (F.col("x.doc_id") < F.col("y.doc_id"))
-        pairs = several.where("component <> top").alias("x").join(several.alias("y"), close & minor & once)
+        pairs = several.where("component <> top").alias("x").join(several.alias("y"), close & minor & once & (F.size(F.array_intersect("x.signature", "y.signature")) >= MATCHES))
     first = F.col("x.doc_id") < F.col("y.doc_id")
     side = lambda name: (F.when(first, F.col(f"x.{name}")).otherwise(F.col(f"y.{name}")), F.when(first, F.col(f"y.{name}")).otherwise(F.col(f"x.{name}")))
     (a, b), (ca, cb) = side("doc_id"), side("component")
@@ -199,7 +195,7 @@ def linked(frame: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for every row of ``frame`` (``doc_id``, ``text``)."""
     frame = frame.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = written(shingled(frame), "signatures")
-    classes = docs.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "posts")).alias("first"))
+    classes = docs.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "posts")).alias("first"))
     classes = written(classes.select("h1", "h2", F.col("first.doc_id").alias("doc_id"), "n", "first.posts"), "classes")
     sets = candidate_sets(frame, classes)
     posted = sets.select("doc_id", "n", "e", F.explode("prefix").alias("post"))
@@ -216,7 +212,7 @@ def linked(frame: DataFrame) -> DataFrame:
     roots = classes.join(label, "doc_id", "left").select("h1", "h2", "n", F.coalesce("component", "doc_id").alias("component_id"))
     out = docs.select("doc_id", "n", "h1", "h2").join(roots, ["h1", "h2", "n"], "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
