@@ -89,7 +89,8 @@ def value_positions(df: DataFrame, keys: list[str], value: str, then: str | None
     ranges = placed.groupBy(*keys, "_range").agg(F.sum("n_equal").alias("_in_range"))
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("_before", F.coalesce(F.sum("_in_range").over(earlier), F.lit(0))).drop("_in_range")
-    inside = Window.partitionBy(*keys, "_range").orderBy(*values).rowsBetween(Window.unboundedPreceding, -1)
+    # A null falls into the last range and comes last there.
+    inside = Window.partitionBy(*keys, "_range").orderBy(*[F.asc_nulls_last(v) for v in values]).rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("n_equal").over(inside), F.lit(0))
     return (
         placed.withColumn("_inside", below)
@@ -98,6 +99,13 @@ def value_positions(df: DataFrame, keys: list[str], value: str, then: str | None
     )
 
 
+def with_positions_of(rows: DataFrame, positions: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Rows with the figures of their value; a missing value has its own."""
+    names = {c: f"_of_{c}" for c in [*keys, *values]}
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+    return rows.join(positions.withColumnsRenamed(names), on).drop(*names.values())
+
+
 def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Exact median per key for values of any number; nulls are left out."""
     positions = value_positions(df.filter(F.col(value).isNotNull()).select(*keys, value), keys, value)
@@ -114,14 +122,15 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataF
 def rank_rows(df: DataFrame, keys: list[str], scores: list[Column], ties: list[Column], name: str = "rank") -> DataFrame:
     """Positions 1..n per key: by one or two scores, highest first, then by the tie columns.
 
-    Rows with different scores are placed by counting; only rows equal in all scores are numbered together.
+    Rows with different scores are placed by counting; only rows equal in all scores are numbered together. A missing
+    score comes after all others.
     """
     named = {f"_score{i}": -score for i, score in enumerate(scores)}
     scored = df.withColumns(named)
     positions = value_positions(scored, keys, *named).drop("n_equal", "n_total")
     among = Window.partitionBy(*keys, *named).orderBy(*ties)
     return (
-        scored.join(positions, [*keys, *named])
+        with_positions_of(scored, positions, keys, list(named))
         .withColumn(name, (F.col("n_below") + F.row_number().over(among)).cast("int"))
         .drop(*named, "n_below")
     )

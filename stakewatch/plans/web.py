@@ -29,6 +29,11 @@ def people(spark, sf_dir) -> DataFrame:
     return tables.insiders(spark, sf_dir).withColumn("raw_officer_title", F.lit("Officer"))
 
 
+def with_strangers(companies: DataFrame) -> DataFrame:
+    """The companies, and as many more that nothing else knows."""
+    return companies.unionByName(companies.withColumn("issuer_cik", F.concat(F.lit("X"), "issuer_cik")))
+
+
 def sections(spark, sf_dir) -> DataFrame:
     """Discovery sections: the first hundred of each category."""
     return rankings.sections(tables.ranked(spark, sf_dir), 100)
@@ -36,6 +41,7 @@ def sections(spark, sf_dir) -> DataFrame:
 
 _SECTION = "CASE ranking_category " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(params.CATEGORIES, 1)) + " ELSE 0 END"
 add_view("section_items", f"SELECT *, {_SECTION} AS section_no FROM ranked WHERE rank<=100")
+add_view("ranked_items", f"SELECT *, {_SECTION} AS section_no FROM ranked")
 
 # --- sectors, days, totals --------------------------------------------------------------------------------------
 
@@ -192,34 +198,34 @@ def a16(spark, sf_dir):
 
 @query(
     "j9_companies_with_latest_signal",
-    """SELECT c.issuer_cik, c.company_name, l.event_id, l.conviction_score FROM companies c LEFT JOIN (SELECT issuer_cik, arg_max(event_id,(transaction_date,event_id)) AS event_id,
-     arg_max(conviction_score,(transaction_date,event_id)) AS conviction_score FROM sig WHERE CAST(issuer_cik AS BIGINT)%3<>0 GROUP BY 1) l USING (issuer_cik)""",
+    """SELECT c.issuer_cik, c.company_name, l.event_id, l.conviction_score FROM (SELECT issuer_cik, company_name FROM companies UNION ALL SELECT 'X'||issuer_cik, company_name FROM companies) c LEFT JOIN (SELECT issuer_cik, arg_max(event_id,(transaction_date,event_id)) AS event_id,
+     arg_max(conviction_score,(transaction_date,event_id)) AS conviction_score FROM sig GROUP BY 1) l USING (issuer_cik)""",
     ("sig", "companies"),
 )
 def j9(spark, sf_dir):
-    some = tables.signals(spark, sf_dir).filter(F.col("issuer_cik").cast("bigint") % 3 != 0).select("issuer_cik", "event_id", "transaction_date", "conviction_score")
-    latest = activity.latest_per_key(some, "issuer_cik", "transaction_date", "event_id").drop("transaction_date")
-    return tables.companies(spark, sf_dir).select("issuer_cik", "company_name").join(latest, "issuer_cik", "left")
+    signals = tables.signals(spark, sf_dir).select("issuer_cik", "event_id", "transaction_date", "conviction_score")
+    latest = activity.latest_per_key(signals, "issuer_cik", "transaction_date", "event_id").drop("transaction_date")
+    return with_strangers(tables.companies(spark, sf_dir)).select("issuer_cik", "company_name").join(latest, "issuer_cik", "left")
 
 
 # --- periods ----------------------------------------------------------------------------------------------------
 
 def _sources(spark, sf_dir):
-    """Daily rows, some without company number so that the ticker must match, and an index without every tenth company."""
+    """Daily rows, some without company number so that the ticker must match, and more rows of companies that are not known."""
     number = F.col("issuer_cik").cast("bigint")
     daily = tables.signals(spark, sf_dir).select(
         "event_id", "filing_date", "transaction_date", "ticker", F.when(number % 7 == 0, "").otherwise(F.col("issuer_cik")).alias("issuer_cik"),
         "company_name", "sector", "industry", "owner_cik", F.concat(F.lit("Buyer "), "owner_cik").alias("owner_name"), "purchase_value",
         F.col("unique_buyers").alias("buyer_count"), "conviction_score", "behavior_change_score", "cluster_score", "silence_break_score",
-        "days_since_previous_purchase", F.lit("").alias("headline"), F.lit("").alias("ranking_category"),
+        "days_since_previous_purchase", F.lit("").alias("headline"), F.lit("").alias("ranking_category"), number.alias("_number"),
     )
-    found = sections(spark, sf_dir).select(
+    strangers = daily.filter("_number % 10 = 9").withColumns({"event_id": F.concat("event_id", F.lit("-x")), "ticker": F.lit("NOSUCH"), "issuer_cik": F.lit("9999999999")})
+    found = tables.ranked(spark, sf_dir).select(
         "event_id", F.col("latest_filing_date").alias("filing_date"), F.col("latest_transaction_date").alias("transaction_date"), "ticker", "issuer_cik",
         "company_name", "sector", "industry", F.lit("").alias("owner_cik"), F.lit("").alias("owner_name"), "purchase_value", "buyer_count", "conviction_score",
         "behavior_change_score", "cluster_score", "silence_break_score", "days_since_previous_purchase", "headline", "ranking_category", "rank",
     )
-    index = company_index(spark, sf_dir).filter(F.col("issuer_cik").cast("bigint") % 10 != 9)
-    return daily, found, index
+    return daily.unionByName(strangers).drop("_number"), found, company_index(spark, sf_dir)
 
 
 def items(spark, sf_dir) -> DataFrame:
@@ -230,16 +236,18 @@ add_view(
     "all_items",
     """SELECT event_id, filing_date, transaction_date, ticker, CASE WHEN CAST(issuer_cik AS BIGINT)%7=0 THEN '' ELSE issuer_cik END AS raw_cik, issuer_cik, company_name, sector, industry,
       owner_cik, 'Buyer '||owner_cik AS owner_name, purchase_value, unique_buyers AS buyer_count, conviction_score, behavior_change_score, cluster_score, silence_break_score,
-      coalesce(days_since_previous_purchase,0)*1e0 AS days_since_previous_purchase, '' AS headline, 0 AS source, 0 AS section_no, 0 AS rank FROM sig
+      coalesce(days_since_previous_purchase,0)*1e0 AS days_since_previous_purchase, '' AS headline, 0 AS source, 0 AS section_no, 0 AS rank, true AS known FROM sig
+     UNION ALL SELECT event_id||'-x', filing_date, transaction_date, 'NOSUCH', '9999999999', '9999999999', company_name, sector, industry, owner_cik, 'Buyer '||owner_cik, purchase_value, unique_buyers, conviction_score, behavior_change_score,
+      cluster_score, silence_break_score, coalesce(days_since_previous_purchase,0)*1e0, '', 0, 0, 0, false FROM sig WHERE CAST(issuer_cik AS BIGINT)%10=9
      UNION ALL SELECT event_id, latest_filing_date, latest_transaction_date, ticker, issuer_cik, issuer_cik, company_name, sector, industry, '', '', purchase_value, buyer_count, conviction_score,
-      behavior_change_score, cluster_score, silence_break_score, coalesce(days_since_previous_purchase,0)*1e0, headline, 1, section_no, rank FROM section_items""",
+      behavior_change_score, cluster_score, silence_break_score, coalesce(days_since_previous_purchase,0)*1e0, headline, 1, section_no, rank, true FROM ranked_items""",
 )
 add_view(
     "items",
     """SELECT filing_date, transaction_date, ticker, issuer_cik, company_name, sector, industry, lower(ticker) AS company_slug, owner_cik, owner_name, purchase_value, greatest(1,buyer_count) AS buyer_count,
      conviction_score, behavior_change_score, cluster_score, silence_break_score, days_since_previous_purchase, headline FROM (
       SELECT *, row_number() OVER (PARTITION BY filing_date,transaction_date,issuer_cik,ticker,CASE WHEN owner_cik<>'' THEN owner_cik ELSE owner_name END,purchase_value
-        ORDER BY source,section_no,rank,event_id) AS rn FROM all_items WHERE CAST(issuer_cik AS BIGINT)%10<>9) WHERE rn=1""",
+        ORDER BY source,section_no,rank,event_id) AS rn FROM all_items WHERE known) WHERE rn=1""",
 )
 
 
@@ -250,7 +258,7 @@ def u4(spark, sf_dir):
 
 @query(
     "j10_company_fallback_drop",
-    "SELECT event_id, CASE WHEN raw_cik='' THEN 'ticker' ELSE 'cik' END AS way, issuer_cik AS company_cik FROM all_items WHERE source=0 AND CAST(issuer_cik AS BIGINT)%10<>9",
+    "SELECT event_id, CASE WHEN raw_cik='' THEN 'ticker' ELSE 'cik' END AS way, issuer_cik AS company_cik FROM all_items WHERE source=0 AND known",
     ("all_items",),
 )
 def j10(spark, sf_dir):
@@ -262,7 +270,7 @@ def j10(spark, sf_dir):
 
 @query(
     "j10_company_fallback_keep",
-    "SELECT event_id, CASE WHEN CAST(issuer_cik AS BIGINT)%10<>9 THEN issuer_cik END AS company_cik FROM all_items WHERE source=0",
+    "SELECT event_id, CASE WHEN known THEN issuer_cik END AS company_cik FROM all_items WHERE source=0",
     ("all_items",),
 )
 def j10_keep(spark, sf_dir):
@@ -272,12 +280,12 @@ def j10_keep(spark, sf_dir):
 
 @query(
     "j11_companies_with_discoveries",
-    """SELECT issuer_cik FROM companies c WHERE EXISTS (SELECT 1 FROM section_items s WHERE (CAST(s.issuer_cik AS BIGINT)%3=0 AND s.issuer_cik=c.issuer_cik)
+    """SELECT issuer_cik FROM companies c WHERE EXISTS (SELECT 1 FROM ranked_items s WHERE (CAST(s.issuer_cik AS BIGINT)%3=0 AND s.issuer_cik=c.issuer_cik)
      OR (CAST(s.issuer_cik AS BIGINT)%3=1 AND s.ticker=c.ticker) OR (CAST(s.issuer_cik AS BIGINT)%3=2 AND lower(s.company_name)=lower(c.company_name)))""",
-    ("section_items", "companies"),
+    ("ranked_items", "companies"),
 )
 def j11(spark, sf_dir):
-    return companies_with_discoveries(tables.companies(spark, sf_dir), _thirds(sections(spark, sf_dir))).select("issuer_cik")
+    return companies_with_discoveries(tables.companies(spark, sf_dir), _thirds(tables.ranked(spark, sf_dir))).select("issuer_cik")
 
 
 def _thirds(found: DataFrame) -> DataFrame:
@@ -532,11 +540,11 @@ def r11(spark, sf_dir):
 
 @query(
     "r12_normalized_order",
-    "SELECT rank, ranking_category, ticker, issuer_cik, conviction_score FROM section_items ORDER BY rank, conviction_score DESC, ticker, issuer_cik",
-    ("section_items",),
+    "SELECT rank, ranking_category, ticker, issuer_cik, conviction_score FROM ranked_items ORDER BY rank, conviction_score DESC, ticker, issuer_cik",
+    ("ranked_items",),
 )
 def r12(spark, sf_dir):
-    return rankings.normalized_order(sections(spark, sf_dir)).select("rank", "ranking_category", "ticker", "issuer_cik", "conviction_score")
+    return rankings.normalized_order(tables.ranked(spark, sf_dir)).select("rank", "ranking_category", "ticker", "issuer_cik", "conviction_score")
 
 
 @query(
@@ -587,7 +595,7 @@ add_view(
     f"""SELECT k.*, CAST(floor({r(_EVSUM)}+0.5) AS BIGINT) AS evidence_score, {_w('conviction_score')} AS p_conviction, {_w('behavior_change_score')} AS p_behavior, {_w('cluster_score')} AS p_cluster,
      {_w('abnormality_score')} AS p_abnormality, {_w('silence_break_score')} AS p_silence, {_w(_OWN)} AS p_ownership, {_w(_ROLEQ)} AS p_role, {_w(_DQ)} AS p_quality,
      f.drawdown_from_52_week_high, (f.current_price/a.average-1)*100 AS percent_vs_average_purchase_price
-    FROM section_items k LEFT JOIN story_facts f USING (ticker) LEFT JOIN (SELECT ticker, sum(weighted_average_price*total_shares)/sum(total_shares) AS average FROM pe GROUP BY 1) a USING (ticker)""",
+    FROM ranked_items k LEFT JOIN story_facts f USING (ticker) LEFT JOIN (SELECT ticker, sum(weighted_average_price*total_shares)/sum(total_shares) AS average FROM pe GROUP BY 1) a USING (ticker)""",
 )
 
 
@@ -598,7 +606,7 @@ def story_summary(spark, sf_dir) -> DataFrame:
 
 def evidence_items(spark, sf_dir) -> DataFrame:
     prices = story_summary(spark, sf_dir).select("ticker", "drawdown_from_52_week_high", "percent_vs_average_purchase_price")
-    return evidence.with_evidence(sections(spark, sf_dir).join(prices, "ticker", "left"))
+    return evidence.with_evidence(tables.ranked(spark, sf_dir).join(prices, "ticker", "left"))
 
 
 _MODE_SQL = {
@@ -652,11 +660,11 @@ def r15(spark, sf_dir):
 
 @query(
     "r16_first_across_sections",
-    "SELECT issuer_cik, ranking_category, rank FROM (SELECT *, row_number() OVER (PARTITION BY issuer_cik ORDER BY section_no, rank) AS rn FROM section_items) WHERE rn=1",
-    ("section_items",),
+    "SELECT issuer_cik, ranking_category, rank FROM (SELECT *, row_number() OVER (PARTITION BY issuer_cik ORDER BY section_no, rank) AS rn FROM ranked_items) WHERE rn=1",
+    ("ranked_items",),
 )
 def r16(spark, sf_dir):
-    return rankings.first_across_sections(sections(spark, sf_dir)).select("issuer_cik", "ranking_category", "rank")
+    return rankings.first_across_sections(tables.ranked(spark, sf_dir)).select("issuer_cik", "ranking_category", "rank")
 
 
 add_view(
@@ -765,20 +773,20 @@ def p8(spark, sf_dir):
 
 @query(
     "p9_company_has_evidence",
-    "SELECT issuer_cik, issuer_cik IN (SELECT issuer_cik FROM pe WHERE total_shares<10) AS has_evidence FROM companies",
+    "SELECT issuer_cik, issuer_cik IN (SELECT issuer_cik FROM pe) AS has_evidence FROM (SELECT issuer_cik FROM companies UNION ALL SELECT 'X'||issuer_cik FROM companies)",
     ("companies", "pe"),
 )
 def p9(spark, sf_dir):
-    return _dossiers(spark, sf_dir, "total_shares < 10").select("issuer_cik", dossiers.has_evidence({"purchase_events", "purchase_campaigns", "event_signals"}).alias("has_evidence"))
+    return _dossiers(spark, sf_dir, with_strangers(tables.companies(spark, sf_dir))).select("issuer_cik", dossiers.has_evidence({"purchase_events", "purchase_campaigns", "event_signals"}).alias("has_evidence"))
 
 
 @query(
     "p10_discovery_filter",
-    "SELECT ranking_category, rank, ticker FROM section_items WHERE sector='EUROPE' AND contains(lower(concat_ws(' ',ticker,company_name,sector,industry,headline)),'founder')",
-    ("section_items",),
+    "SELECT ranking_category, rank, ticker FROM ranked_items WHERE sector='EUROPE' AND contains(lower(concat_ws(' ',ticker,company_name,sector,industry,headline)),'founder')",
+    ("ranked_items",),
 )
 def p10(spark, sf_dir):
-    return evidence.filter_discoveries(sections(spark, sf_dir), "EUROPE", " Founder ").select("ranking_category", "rank", "ticker")
+    return evidence.filter_discoveries(tables.ranked(spark, sf_dir), "EUROPE", " Founder ").select("ranking_category", "rank", "ticker")
 
 
 @query(
@@ -825,23 +833,23 @@ def w14(spark, sf_dir):
     """SELECT ticker, date FROM (SELECT u.*, row_number() OVER (PARTITION BY u.ticker ORDER BY u.date)-1 AS n, count(*) OVER (PARTITION BY u.ticker) AS rows,
       EXISTS (SELECT 1 FROM pe e WHERE e.ticker=u.ticker AND e.transaction_date=u.date) OR EXISTS (SELECT 1 FROM pe e WHERE e.ticker=u.ticker AND e.transaction_date<u.date AND (e.transaction_date>u.prev OR u.prev IS NULL))
       OR EXISTS (SELECT 1 FROM pe e WHERE e.ticker=u.ticker AND e.transaction_date>u.date AND (e.transaction_date<u.next OR u.next IS NULL)) AS near
-     FROM (SELECT *, lag(date) OVER (PARTITION BY ticker ORDER BY date) AS prev, lead(date) OVER (PARTITION BY ticker ORDER BY date) AS next FROM usable_prices) u) WHERE rows<=50 OR n%greatest(1,CAST(ceil(rows/50e0) AS BIGINT))=0 OR n=rows-1 OR near""",
+     FROM (SELECT *, lag(date) OVER (PARTITION BY ticker ORDER BY date) AS prev, lead(date) OVER (PARTITION BY ticker ORDER BY date) AS next FROM usable_prices) u) WHERE rows<=260 OR n%greatest(1,CAST(ceil(rows/260e0) AS BIGINT))=0 OR n=rows-1 OR near""",
     ("usable_prices", "pe"),
 )
 def w15(spark, sf_dir):
     sessions = price_ops.usable_sessions(tables.prices(spark, sf_dir))
     days = tables.events(spark, sf_dir).select("ticker", F.col("transaction_date").alias("day"))
-    return price_ops.downsample(sessions, days, 50).select("ticker", "date")
+    return price_ops.downsample(sessions, days, 260).select("ticker", "date")
 
 
 @query(
     "w16_last_markers",
-    """SELECT event_id, ticker, CAST(age AS INTEGER) AS marker_age FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY transaction_date DESC, event_id DESC) AS age FROM pe) WHERE age<=25""",
+    """SELECT event_id, ticker, CAST(age AS INTEGER) AS marker_age FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY transaction_date DESC, event_id DESC) AS age FROM pe) WHERE age<=250""",
     ("pe",),
 )
 def w16(spark, sf_dir):
     sessions = price_ops.usable_sessions(tables.prices(spark, sf_dir))
-    return stories.purchase_markers(sessions, tables.events(spark, sf_dir), 25).select("event_id", "ticker", "marker_age")
+    return stories.purchase_markers(sessions, tables.events(spark, sf_dir), 250).select("event_id", "ticker", "marker_age")
 
 
 @query(
@@ -872,13 +880,10 @@ def e3(spark, sf_dir):
 
 # --- dossiers ---------------------------------------------------------------------------------------------------
 
-def _dossiers(spark, sf_dir, condition: str = "true") -> DataFrame:
-    signals = tables.signals(spark, sf_dir).filter(condition)
-    events = tables.events(spark, sf_dir).filter(condition)
-    lots = tables.lots(spark, sf_dir).filter(F.lit(condition == "true"))
-    return dossiers.company_dossiers(
-        tables.companies(spark, sf_dir), events, purchase_campaigns(events), signals, lots, best_per_issuer(signals)
-    )
+def _dossiers(spark, sf_dir, companies: DataFrame | None = None) -> DataFrame:
+    signals, events, lots = tables.signals(spark, sf_dir), tables.events(spark, sf_dir), tables.lots(spark, sf_dir)
+    companies = tables.companies(spark, sf_dir) if companies is None else companies
+    return dossiers.company_dossiers(companies, events, purchase_campaigns(events), signals, lots, best_per_issuer(signals))
 
 
 @query("e1_company_dossiers")
