@@ -15,17 +15,23 @@ row with a count, so a value shared by a third of the rows is one row per block.
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
+# Workers get the functions of this module by value, so they need not have the package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PERSON = ["issuer_cik", "insider_id"]
 BLOCK_ROWS = 20_000
 MAX_BLOCKS = 1000
 RANGES = 1024
-STREAMS = ["v", "o", "t"]
+#: Known values, values above zero, ownership increases, 90-day sums.
+STREAMS = ["v", "w", "o", "t"]
 
 
 def plan_ranges(counts: pd.DataFrame, tasks: pd.DataFrame) -> pd.DataFrame:
@@ -62,7 +68,7 @@ def plan_ranges(counts: pd.DataFrame, tasks: pd.DataFrame) -> pd.DataFrame:
         else:
             low, high = (n - step) / 2 - 2, (n + step) / 2 + 2
             held = ranks(low, high)
-            if stream == "v" and task.positional and held is not None:
+            if stream == "w" and task.positional and held is not None:
                 # The median lies between these; outside the known places it may reach the ends.
                 least = log_edges[held[0]] if low >= 0 else log_edges[0]
                 most = log_edges[held[1] + 1] if high <= n - 1 else log_edges[-1]
@@ -173,8 +179,8 @@ class Earlier:
 
 
 RESULT = (
-    "issuer_cik string, insider_id string, bb long, sequence long, positional boolean, v double, range int, counted long,"
-    " median double, median_log double, mad double, median_o double, median_t double"
+    "issuer_cik string, insider_id string, bb long, sequence long, positional boolean, stream string, v double, range int, counted long,"
+    " known long, median double, median_log double, mad double, median_o double, median_t double"
 )
 
 
@@ -193,19 +199,24 @@ def run_block(rows: pd.DataFrame) -> pd.DataFrame:
         )
     for stream in STREAMS:
         earlier.setdefault(stream, Earlier(np.zeros(2, np.int64), np.zeros(2), np.zeros(0), np.zeros(0, np.int64)))
-    v, o, t = (earlier[s] for s in STREAMS)
-    passing = list(zip(inside["sequence"], inside["v"], inside["o"], inside["t"]))
+    v, w, o, t = (earlier[s] for s in STREAMS)
+    passing = list(zip(inside["sequence"], inside["v"], inside["w"], inside["o"], inside["t"]))
     at, out = 0, []
     for q in asked.itertuples(index=False):
         while at < len(passing) and passing[at][0] < q.bound:
-            for store, value in zip((v, o, t), passing[at][1:]):
+            for store, value in zip((v, w, o, t), passing[at][1:]):
                 store.add(value)
             at += 1
-        place = int(np.searchsorted(v.edges[1:-1], q.v, "left"))
-        smaller = bisect_left(v.block, q.v) if q.positional else bisect_right(v.block, q.v)
-        head = (q.issuer_cik, q.insider_id, q.bb, q.sequence, q.positional, q.v, place, int(v.base[place]) + smaller)
+        stream, store = ("w", w) if q.positional else ("v", v)
+        if q.v == q.v:
+            place = int(np.searchsorted(store.edges[1:-1], q.v, "left"))
+            smaller = bisect_left(store.block, q.v) if q.positional else bisect_right(store.block, q.v)
+            compared = (float(q.v), place, int(store.base[place]) + smaller)
+        else:  # an unknown value is above none of the others
+            compared = (None, -1, 0)
+        head = (q.issuer_cik, q.insider_id, q.bb, q.sequence, q.positional, stream, *compared, len(store))
         if q.positional:
-            out.append((*head, v.median(), *v.log_median_and_spread(), None, None))
+            out.append((*head, w.median(), *w.log_median_and_spread(), None, None))
         else:
             out.append((*head, v.median(), None, None, o.median(), t.median_with(q.x, int(q.k))))
     return pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
@@ -213,7 +224,7 @@ def run_block(rows: pd.DataFrame) -> pd.DataFrame:
 
 def run_range(rows: pd.DataFrame) -> pd.DataFrame:
     """Inside one range: earlier blocks' values below, and up to, each asked value."""
-    names = [*PERSON, "bb", "v", "below", "upto"]
+    names = [*PERSON, "stream", "bb", "v", "below", "upto"]
     asked = rows[rows["asked"]]
     if asked.empty:
         return pd.DataFrame(columns=names)
@@ -229,7 +240,7 @@ def run_range(rows: pd.DataFrame) -> pd.DataFrame:
         np.add.at(seen, blocks[stop:at], times[stop:at])
         upto = np.concatenate([[0], np.cumsum(seen)])
         for q in group.itertuples(index=False):
-            out.append((q.issuer_cik, q.insider_id, q.bb, value, int(below[q.bb]), int(upto[q.bb])))
+            out.append((q.issuer_cik, q.insider_id, q.stream, q.bb, value, int(below[q.bb]), int(upto[q.bb])))
     return pd.DataFrame(out, columns=names)
 
 
@@ -248,12 +259,13 @@ def apart(df: DataFrame) -> DataFrame:
 def blocked_statistics(placed: DataFrame, block_rows: int = BLOCK_ROWS, ranges: int = RANGES, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """The statistics of ``ordered_statistics.STATISTICS`` for the given purchases, all of whose groups are complete.
 
-    Purchase values are positive, as the rule for qualifying purchases has it.
+    As in the arrays, a missing value counts for nothing, and figures at a purchase's own position leave out values that are
+    not above zero.
     """
     rows_per_block = F.greatest(F.lit(block_rows), F.ceil(F.col("group_size") / float(max_blocks)))
     hot = placed.select(
         *PERSON, "sequence", F.col("prior_purchase_count").cast("long").alias("p"), F.col("_day_place").cast("long").alias("k"),
-        F.col("purchase_value").alias("v"), F.col("ownership_increase_percent").cast("double").alias("o"), F.col("_full_90d").alias("t"),
+        F.col("purchase_value").alias("v"), F.when(F.col("purchase_value") > 0, F.col("purchase_value")).alias("w"), F.col("ownership_increase_percent").cast("double").alias("o"), F.col("_full_90d").alias("t"),
         F.col("_same_day_90d").alias("x"), rows_per_block.alias("_s"),
     ).withColumns({"block": F.floor(F.col("sequence") / F.col("_s")), "strict_block": F.floor(F.col("p") / F.col("_s"))})
 
@@ -300,7 +312,7 @@ def blocked_statistics(placed: DataFrame, block_rows: int = BLOCK_ROWS, ranges:
         .filter(F.col("block") < F.col("bb"))
         .select(*PERSON, "bb", "ob", "stream", "value", F.col("times").cast("double").alias("times"), F.lit("value").alias("kind"))
     )
-    own = hot.select(*PERSON, F.col("block").alias("bb"), "sequence", "v", "o", "t").join(tasks.select(*PERSON, "bb", "ob"), [*PERSON, "bb"])
+    own = hot.select(*PERSON, F.col("block").alias("bb"), "sequence", "v", "w", "o", "t").join(tasks.select(*PERSON, "bb", "ob"), [*PERSON, "bb"])
     together = (
         questions.withColumn("kind", F.lit("question"))
         .unionByName(own.withColumn("kind", F.lit("block")), allowMissingColumns=True)
@@ -310,19 +322,20 @@ def blocked_statistics(placed: DataFrame, block_rows: int = BLOCK_ROWS, ranges:
     answers = together.groupBy(*PERSON, "bb", "ob").applyInPandas(run_block, RESULT)
 
     # The rest of the counts: earlier values in the same range.
-    in_range = answers.select(*PERSON, "range", "bb", "v").distinct().withColumns({"times": F.lit(None).cast("double"), "asked": F.lit(True)}).unionByName(
-        ranged.filter("stream = 'v'").select(
-            *PERSON, "range", F.col("block").alias("bb"), F.col("value").alias("v"), F.col("times").cast("double").alias("times"), F.lit(False).alias("asked")
+    in_range = answers.filter("v is not null").select(*PERSON, "stream", "range", "bb", "v").distinct().withColumns({"times": F.lit(None).cast("double"), "asked": F.lit(True)}).unionByName(
+        ranged.filter("stream in ('v', 'w')").select(
+            *PERSON, "stream", "range", F.col("block").alias("bb"), F.col("value").alias("v"), F.col("times").cast("double").alias("times"), F.lit(False).alias("asked")
         )
     )
-    parts = in_range.groupBy(*PERSON, "range").applyInPandas(
-        run_range, "issuer_cik string, insider_id string, bb long, v double, below long, upto long"
+    parts = in_range.groupBy(*PERSON, "stream", "range").applyInPandas(
+        run_range, "issuer_cik string, insider_id string, stream string, bb long, v double, below long, upto long"
     )
-    full = answers.join(parts, [*PERSON, "bb", "v"])
+    full = answers.join(parts, [*PERSON, "stream", "bb", "v"], "left").fillna(0, ["below", "upto"])
     at_place, strict = F.col("positional"), ~F.col("positional")
     statistics = full.groupBy(*PERSON, "sequence").agg(
         F.max(F.when(strict, F.col("median"))).alias("prior_median_purchase_value"),
         F.max(F.when(strict, F.col("counted") + F.col("upto"))).alias("_upto"),
+        F.max(F.when(strict, F.col("known"))).alias("_known_before"),
         F.max(F.when(strict, F.col("median_o"))).alias("prior_median_ownership_increase_percent"),
         F.max(F.when(at_place, F.col("median"))).alias("_median"),
         F.max(F.when(at_place, F.col("counted") + F.col("below"))).alias("_below"),
@@ -330,6 +343,5 @@ def blocked_statistics(placed: DataFrame, block_rows: int = BLOCK_ROWS, ranges:
         F.max(F.when(at_place, F.col("mad"))).alias("_mad"),
         F.max(F.when(strict, F.col("median_t"))).alias("_median_90d"),
     )
-    prior = F.col("prior_purchase_count")
-    percentile = F.when(prior > 0, F.col("_upto").cast("double") / F.nullif(prior, F.lit(0)) * 100)
-    return placed.join(statistics, [*PERSON, "sequence"]).withColumn("prior_purchase_value_percentile", percentile).drop("_upto")
+    percentile = F.col("_upto").cast("double") / F.nullif("_known_before", F.lit(0)) * 100
+    return placed.join(statistics, [*PERSON, "sequence"], "left").withColumn("prior_purchase_value_percentile", percentile).drop("_upto", "_known_before")

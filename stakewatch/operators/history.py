@@ -16,22 +16,13 @@ PERSON = ["issuer_cik", "insider_id"]
 PERSON_DAY = [*PERSON, "transaction_date"]
 
 
-DAY_LIMIT = 200_000
-
-
-def has_large_days(events: DataFrame, limit: int = DAY_LIMIT) -> bool:
-    """Whether one person has more purchases in one issuer on one day than a task should sort."""
-    sizes = events.groupBy(*PERSON_DAY).count()
-    return not sizes.filter(F.col("count") > limit).isEmpty()
-
-
-def with_positions(events: DataFrame, split_days: bool = True) -> DataFrame:
+def with_positions(events: DataFrame, digits: int = 2) -> DataFrame:
     """Adds the place of a purchase among those of its own day (by event id) and the day's running figures.
 
-    Event ids are hashes, so their first two digits cut a day into 256 even parts that keep its order. With
-    ``split_days`` each part is numbered on its own and then moved by what the parts before it hold.
+    Event ids are hashes, so their first ``digits`` cut a day into 16 to the power of ``digits`` even parts that keep its
+    order. Each part is numbered on its own and then moved by what the parts before it hold.
     """
-    part = F.substring("event_id", 1, 2) if split_days else F.lit("")
+    part = F.substring("event_id", 1, digits)
     keyed = events.withColumn("_part", part)
     inside = Window.partitionBy(*PERSON_DAY, "_part").orderBy("event_id")
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
@@ -48,8 +39,6 @@ def with_positions(events: DataFrame, split_days: bool = True) -> DataFrame:
             "_day_largest": F.max(positive).over(before),
         }
     )
-    if not split_days:
-        return placed.drop("_part")
     parts = keyed.groupBy(*PERSON_DAY, "_part").agg(
         F.count(F.lit(1)).alias("n"), F.sum(value).alias("v"), F.sum(log_value).alias("l"), F.count_if(value > 0).alias("c"), F.max(positive).alias("m")
     )
@@ -180,12 +169,9 @@ def history_quality(count: Column) -> Column:
     return F.when(count == 0, F.lit("limited")).when(count <= 2, F.lit("acceptable")).otherwise(F.lit("high"))
 
 
-def with_daily_history(events: DataFrame, split_days: bool = True) -> DataFrame:
-    """Purchases with their day's causal columns and their position among the person's purchases.
-
-    ``split_days=False`` saves a join; only for purchases checked by ``has_large_days``.
-    """
-    placed = with_positions(events, split_days)
+def with_daily_history(events: DataFrame, digits: int = 2) -> DataFrame:
+    """Purchases with their day's causal columns and their position among the person's purchases."""
+    placed = with_positions(events, digits)
     daily = daily_history(placed)
     joined = placed.join(daily, PERSON_DAY)
     count = F.col("prior_purchase_count")

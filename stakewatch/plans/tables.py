@@ -17,7 +17,7 @@ from stakewatch.operators import events as event_ops
 from stakewatch.operators import prices as price_ops
 from stakewatch.operators import rankings as ranking_ops
 from stakewatch.operators import signals as signal_ops
-from stakewatch.operators.history import has_large_days, with_daily_history
+from stakewatch.operators.history import with_daily_history
 from stakewatch.operators.ordered_statistics import has_large_groups
 from stakewatch.session import shared_folder
 
@@ -206,8 +206,8 @@ def priced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_histories(written: DataFrame) -> DataFrame:
-    """Daily histories of a written table of purchases, whose largest day is looked up first."""
-    return with_daily_history(written, has_large_days(written))
+    """Daily histories of a written table of purchases."""
+    return with_daily_history(written)
 
 
 def placed_events(spark: SparkSession, sf_dir: str) -> DataFrame:

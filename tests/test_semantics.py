@@ -9,6 +9,7 @@ from stakewatch import params
 from stakewatch.functions import dates, identity, numeric, text
 from stakewatch.functions.roles import roles_from_title
 from stakewatch.operators import events, normalize, prices, quality, rankings, signals, stories
+from stakewatch.operators.evidence import mid_rank
 from stakewatch.operators.grouping import exact_median, mark_copies, rank_rows, value_positions
 from stakewatch.operators.history import with_daily_history
 from stakewatch.sources import filings, indexes
@@ -41,8 +42,8 @@ def purchases(spark, rows):
 
 
 def histories(events):
-    """Full histories by the shorter plan; the ways for large groups and days have their own tests."""
-    return signals.complete_histories(with_daily_history(events, False), False)
+    """Full histories by the arrays; the way for large groups has its own tests."""
+    return signals.complete_histories(with_daily_history(events), False)
 
 
 def test_lots_become_one_event(spark):
@@ -118,7 +119,7 @@ def test_silence_after_five_years(spark):
 
 def test_acceleration_needs_three(spark):
     rows = [(str(i), date(2020, i + 1, 1), v) for i, v in enumerate([100, 200, 500])]
-    scored = with_daily_history(purchases(spark, rows), False).withColumns(signals.acceleration_columns())
+    scored = with_daily_history(purchases(spark, rows)).withColumns(signals.acceleration_columns())
     got = {r.event_id: r for r in scored.collect()}
     assert got["0"].acceleration_score == 0.0 and got["1"].acceleration_score == 0.0
     assert got["2"].acceleration_quality == "high" and got["2"].acceleration_score > 50
@@ -333,8 +334,27 @@ def test_positions_ranks_and_medians_match_brute_force(spark):
             assert ranked[i] == place
 
 
+def test_missing_scores_come_last(spark):
+    rows = [("a", 1.0, 0), ("a", None, 1), ("a", 5.0, 2), ("a", None, 3), ("b", None, 4)]
+    frame = spark.createDataFrame(rows, "k string, v double, i int")
+    ranked = {r.i: r["rank"] for r in rank_rows(frame, ["k"], [F.col("v")], [F.col("i")]).collect()}
+    assert ranked == {2: 1, 0: 2, 1: 3, 3: 4, 4: 1}
+    assert {r.i: r.p for r in mid_rank(frame, "v", "p").collect()}.keys() == set(range(5))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from stakewatch.session import shared_folder
+
+    unset = SimpleNamespace(get=lambda name, default=None: default)
+    context = SimpleNamespace(master="local-cluster[2,1,1024]", applicationId="x", getConf=lambda: unset)
+    with pytest.raises(ValueError):
+        shared_folder(SimpleNamespace(conf=unset, sparkContext=context))
+
+
 def test_blocked_statistics_equal_the_arrays(spark):
-    """A person with a day that holds a third of the purchases, many equal values and missing ownership."""
+    """A person with a day that holds a third of the purchases, many equal, zero, negative and missing values, and missing ownership."""
     import random
     from datetime import timedelta
 
@@ -345,12 +365,12 @@ def test_blocked_statistics_equal_the_arrays(spark):
     for group, count in (("1", 170), ("2", 60)):
         for i in range(count):
             day = date(2020, 1, 1) + timedelta(days=5 if rng.random() < 0.33 else rng.randrange(120))
-            value = rng.choice([100.0, 100.0, round(rng.random() * 1000, 2) + 0.01, round(10 ** (rng.random() * 6), 2) + 0.01])
+            value = rng.choice([100.0, 100.0, None, 0.0, -0.25, round(rng.random() * 1000, 2) + 0.01, round(10 ** (rng.random() * 6), 2) + 0.01])
             rows.append((group, "p", f"e{i:05d}", day, value, rng.choice([None, rng.random() * 100])))
     table = spark.createDataFrame(
         rows, "issuer_cik string, insider_id string, event_id string, transaction_date date, purchase_value double, ownership_increase_percent double"
     )
-    placed = with_daily_history(table, False)
+    placed = with_daily_history(table)
     want = {(r.issuer_cik, r.sequence): r for r in array_statistics(placed).collect()}
     got = {(r.issuer_cik, r.sequence): r for r in blocked_statistics(placed, block_rows=16, ranges=12).collect()}
     assert want.keys() == got.keys()
@@ -364,7 +384,7 @@ def test_large_and_small_groups_together(spark):
 
     rows = [(f"e{i:03d}", date(2020, 1 + i % 12, 1 + i % 28), 50 + (i * 37) % 91) for i in range(40)]
     other = purchases(spark, rows[:6]).withColumn("insider_id", F.lit("3"))
-    placed = with_daily_history(purchases(spark, rows).unionByName(other), False)
+    placed = with_daily_history(purchases(spark, rows).unionByName(other))
     assert has_large_groups(placed, 10) and not has_large_groups(placed, 40)
     want = {(r.insider_id, r.sequence): r for r in array_statistics(placed).collect()}
     got = {(r.insider_id, r.sequence): r for r in with_prior_statistics(placed, limit=10).collect()}
@@ -378,8 +398,8 @@ def test_a_split_day_gives_the_same_positions(spark):
     days = [date(2020, 1, 1)] * 60 + [date(2020, 1, 1 + i % 9) for i in range(30)]
     rows = [(hashlib.sha256(str(i).encode()).hexdigest()[:24], d, 10 + (i * 37) % 91) for i, d in enumerate(days)]
     table = purchases(spark, rows)
-    whole = {r.event_id: r.asDict() for r in with_daily_history(table, split_days=False).collect()}
-    split = {r.event_id: r.asDict() for r in with_daily_history(table, split_days=True).collect()}
+    whole = {r.event_id: r.asDict() for r in with_daily_history(table, digits=0).collect()}
+    split = {r.event_id: r.asDict() for r in with_daily_history(table, digits=2).collect()}
     assert whole.keys() == split.keys()
     for key, row in whole.items():
         for name, value in row.items():
