@@ -138,8 +138,11 @@ def period_change(summary: DataFrame) -> DataFrame:
     return wide.select(F.inline("m")).withColumn("change_percent", change_percent(F.col("current"), F.col("previous")))
 
 
-def activity_feed(items: DataFrame) -> DataFrame:
-    """One row per filing date and company with the union of what changed, its size, delay and text."""
+def activity_feed(items: DataFrame, costs: DataFrame | None = None) -> DataFrame:
+    """One row per filing date and company with the union of what changed, its size, delay and text.
+
+    ``costs`` gives ``percent_vs_cost`` by ``ticker``, how far the latest price is from what buyers paid on average; where it
+    is known the text says so."""
     typed = items.filter("ticker <> ''").withColumns({"_company": company_identity(), "_types": change_types(), "_buyer": F.nullif(buyer_identity(), F.lit(""))})
     place = F.struct("transaction_date", "purchase_value", "owner_cik", "headline")
     grouped = typed.groupBy("filing_date", "_company").agg(
@@ -164,13 +167,14 @@ def activity_feed(items: DataFrame) -> DataFrame:
         F.greatest("conviction", F.lit(0.0)).alias("conviction"),
         "change_types",
     )
+    out = out.withColumn("percent_vs_cost", F.lit(None).cast("double")) if costs is None else out.join(costs.select("ticker", "percent_vs_cost"), "ticker", "left")
     return out.withColumns(
         {
             "filing_delay_days": filing_delay(F.col("transaction_date"), F.col("filing_date")),
             "summary": feed_summary(F.col("ticker"), F.col("buyer_count"), F.col("change_types")),
-            "detail": feed_detail(F.col("buyer_count"), F.col("purchase_value"), F.lit(None).cast("double")),
+            "detail": feed_detail(F.col("buyer_count"), F.col("purchase_value"), F.col("percent_vs_cost")),
         }
-    )
+    ).drop("percent_vs_cost")
 
 
 def filter_feed(feed: DataFrame, sector: str = "all", change: str = "all", min_value: float = 0.0, min_buyers: int = 1) -> DataFrame:

@@ -604,6 +604,19 @@ def story_summary(spark, sf_dir) -> DataFrame:
     return stories.story_summary(sessions, tables.events(spark, sf_dir))
 
 
+@query(
+    "s21_feed_price_sentences",
+    f"""SELECT f.id, f.detail || coalesce(' The latest price is ' || {fixed('abs(a.p)', 1)} || '% ' || CASE WHEN a.p>=0 THEN 'above' ELSE 'below' END || ' their average reported cost.', '') AS detail
+    FROM feed f LEFT JOIN (SELECT upper(s.ticker) AS t, (s.current_price/e.average-1)*100 AS p FROM story_facts s
+      JOIN (SELECT ticker, sum(weighted_average_price*total_shares)/sum(total_shares) AS average FROM pe GROUP BY 1) e USING (ticker)) a ON a.t=f.ticker""",
+    ("feed", "story_facts", "pe"),
+)
+def s21_price(spark, sf_dir):
+    costs = story_summary(spark, sf_dir).select(F.upper("ticker").alias("ticker"), F.col("percent_vs_average_purchase_price").alias("percent_vs_cost"))
+    current = activity.in_period(items(spark, sf_dir), "90d").filter("is_current")
+    return activity.activity_feed(current, costs).select("id", "detail")
+
+
 def evidence_items(spark, sf_dir) -> DataFrame:
     prices = story_summary(spark, sf_dir).select("ticker", "drawdown_from_52_week_high", "percent_vs_average_purchase_price")
     return evidence.with_evidence(tables.ranked(spark, sf_dir).join(prices, "ticker", "left"))
@@ -901,7 +914,7 @@ def e1(spark, sf_dir):
 )
 def e1_counts(spark, sf_dir):
     return _dossiers(spark, sf_dir).select(
-        "issuer_cik", *[F.size(c).cast("bigint").alias(c) for c in ("purchase_events", "qualifying_transactions", "buyers")], F.col("latest_event_signal.event_id").alias("latest_event"),
+        "issuer_cik", *[F.size(c).cast("bigint").alias(c) for c in ("purchase_events", "qualifying_transactions")], "buyers", F.col("latest_event_signal.event_id").alias("latest_event"),
     )
 
 
