@@ -12,6 +12,25 @@ from stakewatch.operators.grouping import last_per_key
 PRICE_COLUMNS = ["open", "high", "low", "close", "adj_close", "volume", "dividends", "stock_splits"]
 
 
+def with_trailing_highest(rows: DataFrame, column: str, frames: dict[str, int]) -> DataFrame:
+    """Adds the highest value of the last n sessions for each name and n of ``frames``.
+
+    Sessions (numbered from 1 by ``_n`` in each ticker) are cut into blocks of n; a frame is the end of one block and the
+    beginning of the next, so it is the larger of two running maxima, and no frame is walked through row by row."""
+    line = Window.partitionBy("ticker").orderBy("_n")
+    for name, n in frames.items():
+        block = F.floor((F.col("_n") - 1) / float(n))
+        inside = Window.partitionBy("ticker", "_block")
+        rows = rows.withColumn("_block", block).withColumns(
+            {
+                "_upto": F.max(column).over(inside.orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)),
+                "_from": F.max(column).over(inside.orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0)),
+            }
+        )
+        rows = rows.withColumn(name, F.greatest("_upto", F.lag("_from", n - 1).over(line))).drop("_block", "_upto", "_from")
+    return rows
+
+
 def session_context(prices: DataFrame) -> DataFrame:
     """Rolling columns of each session, computed once per (ticker, date) and shared by all purchases.
 
@@ -24,6 +43,7 @@ def session_context(prices: DataFrame) -> DataFrame:
     base = prices.withColumns(
         {"_n": position, "_return": daily_return, "_dollars": F.col("close") * F.col("volume")}
     )
+    base = with_trailing_highest(base, "high", {"_high_52w": 252, "_high_3y": 756})
 
     def last(n: int) -> object:
         return line.rowsBetween(-(n - 1), 0)
@@ -34,8 +54,8 @@ def session_context(prices: DataFrame) -> DataFrame:
     columns = {
         "prior_session_close": F.lag("close").over(line),
         **{f"return_prior_{n}d": ratio(F.col("close"), F.lag("close", n).over(line)) - 1 for n in params.PRIOR_SESSIONS},
-        "drawdown_52w": ratio(F.col("close"), F.max("high").over(last(252))) - 1,
-        "drawdown_3y": ratio(F.col("close"), F.max("high").over(last(756))) - 1,
+        "drawdown_52w": ratio(F.col("close"), F.col("_high_52w")) - 1,
+        "drawdown_3y": ratio(F.col("close"), F.col("_high_3y")) - 1,
         "distance_200d_ma": F.when(F.col("_n") >= 200, ratio(F.col("close"), F.avg("close").over(last(200))) - 1),
         "realized_volatility_63d": F.when(
             F.count("_return").over(last(63)) >= 63, F.stddev_samp("_return").over(last(63)) * F.lit(252.0 ** 0.5)
@@ -47,7 +67,7 @@ def session_context(prices: DataFrame) -> DataFrame:
             for n in params.FORWARD_SESSIONS
         },
     }
-    return base.withColumns(columns).drop("_n", "_return", "_dollars")
+    return base.withColumns(columns).drop("_n", "_return", "_dollars", "_high_52w", "_high_3y")
 
 
 CONTEXT_COLUMNS = [

@@ -404,3 +404,17 @@ def test_a_split_day_gives_the_same_positions(spark):
     for key, row in whole.items():
         for name, value in row.items():
             assert split[key][name] == (pytest.approx(value, abs=1e-9) if isinstance(value, float) else value), name
+
+
+def test_trailing_highest_is_that_of_the_frame(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(t, n, rng.choice([None, rng.random()])) for t in ("A", "B") for n in range(1, 40 if t == "A" else 4)]
+    frame = spark.createDataFrame(rows, "ticker string, _n int, high double")
+    got = prices.with_trailing_highest(frame, "high", {"h3": 3, "h10": 10}).collect()
+    values = {(t, n): v for t, n, v in rows}
+    for row in got:
+        for name, size in (("h3", 3), ("h10", 10)):
+            known = [v for n in range(row["_n"] - size + 1, row["_n"] + 1) if (v := values.get((row.ticker, n))) is not None]
+            assert row[name] == (max(known) if known else None)
