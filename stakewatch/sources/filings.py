@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Only the elements the tables need; attributes come as _id. Element values that the forms wrap in <value>
-# are read as structs with that one child.
-_VALUE = "struct<value:string,footnoteId:array<struct<_id:string>>>"
+# Only the elements the tables need; attributes come as _id. Forms wrap most element values in <value>; where they do not,
+# the value is the element's own text.
+_VALUE = "struct<value:string,_VALUE:string,footnoteId:array<struct<_id:string>>>"
 _LOT = (
     "struct<"
     f"securityTitle:{_VALUE},transactionDate:{_VALUE},"
@@ -54,7 +54,10 @@ def _lots(items: Column, non_derivative: bool) -> Column:
         def text(path: str) -> Column:
             node = lot
             for part in path.split("."):
-                node = node[part]
+                if part == "value":
+                    node = F.coalesce(node["value"], node["_VALUE"])
+                else:
+                    node = node[part]
             return F.trim(node)
 
         def number(path: str) -> Column:

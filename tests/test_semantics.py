@@ -418,3 +418,19 @@ def test_trailing_highest_is_that_of_the_frame(spark):
         for name, size in (("h3", 3), ("h10", 10)):
             known = [v for n in range(row["_n"] - size + 1, row["_n"] + 1) if (v := values.get((row.ticker, n))) is not None]
             assert row[name] == (max(known) if known else None)
+
+
+def test_plain_elements_are_values_too(spark):
+    xml = """<ownershipDocument><documentType>4</documentType><issuer><issuerCik>7</issuerCik></issuer><nonDerivativeTable>
+    <nonDerivativeTransaction><securityTitle>Common</securityTitle><transactionDate><value>2020-01-02</value><footnoteId id="F1"/></transactionDate>
+    <transactionCoding><transactionCode>P</transactionCode></transactionCoding>
+    <transactionAmounts><transactionShares>10</transactionShares><transactionPricePerShare><value>2.5</value></transactionPricePerShare>
+    <transactionAcquiredDisposedCode>A</transactionAcquiredDisposedCode></transactionAmounts></nonDerivativeTransaction>
+    <nonDerivativeTransaction><securityTitle><value>Common</value></securityTitle><transactionDate>2020-01-03</transactionDate></nonDerivativeTransaction>
+    </nonDerivativeTable></ownershipDocument>"""
+    documents = spark.createDataFrame([(xml, "a", "2020-01-05", "p")], "xml string, accession_number string, filing_date string, path string")
+    row = filings.parse_documents(documents).first()
+    first, second = row.lots
+    assert (first.security_title, first.transaction_date, first.shares, first.price_per_share, first.acquired_disposed_code) == ("Common", "2020-01-02", 10.0, 2.5, "A")
+    assert first.footnote_refs == ["F1"] and second.transaction_date == "2020-01-03" and second.security_title == "Common"
+    assert row.quality_flags == []
