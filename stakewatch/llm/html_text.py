@@ -4,7 +4,7 @@ A page is read once into blocks of text, each with its path of tags from the roo
 same path is added up: its length and its punctuation, for each of its blocks. These two ratios are smoothed over
 neighbouring paths in page order, divided by the page's means and fused into one score; paths whose score reaches
 ``THRESHOLD`` of the best are content. The article is the deepest element that holds most of that text, and every block in it
-belongs to it, headings and short lines as well.
+belongs to it, headings and short lines as well; inside an ``article`` element that one is taken whole.
 
 Parts that are no article by what they are named are left out before: menus, headers, footers, sidebars, notices, adverts,
 forms, reader comments, scripts and styles, by tag, role, or a word of the class or id.
@@ -31,10 +31,10 @@ from stakewatch.llm.common import map_batches, table, text_slices
 THRESHOLD = 0.25
 SMOOTHING = (0.25, 0.5, 0.25)
 #: Share of the content's text that the article's element must hold.
-CONTAINED = 0.8
+CONTAINED = 0.9
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
-ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|aria-label|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+ATTRIBUTE = re.compile(r"(?i)(?<![\w-])(class|id|role|aria-label|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WHITE = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+")
 PUNCTUATION = ".,;:!?…،。、！？"
@@ -48,6 +48,7 @@ NO_ARTICLE = frozenset(
     " cookie cookies consent gdpr notice notices notification alert popup modal overlay toolbar form search login signup subscribe subscription newsletter share sharing social comment comments"
     " disqus reply replies respond discussion related recommended recommendations widget pagination pager skip hidden tags tagcloud copyright legal disclaimer".split()
 )
+LAYOUT_WORDS = frozenset("has with no without hide".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 #: Elements that end an open one of the same or the given kinds.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -56,6 +57,12 @@ SCOPE = frozenset("html body table ul ol dl article section main div aside nav h
 BLOCKS_IN_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 
+def names_no_article(name: str) -> bool:
+    """Whether one class or id speaks of such a part, and not of a layout that has one (``with-sidebar``)."""
+    words = WORD.findall(name)
+    return not NO_ARTICLE.isdisjoint(words) and LAYOUT_WORDS.isdisjoint(words)
+
+
 def left_out(tag: str, attributes: str) -> bool:
     """Whether the element is no part of an article, by its tag or how it is named."""
     if tag in LEFT_OUT:
@@ -65,7 +72,7 @@ def left_out(tag: str, attributes: str) -> bool:
         name = name.lower()
         if name == "hidden" or name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "main", "article") and not NO_ARTICLE.isdisjoint(WORD.findall(value)):
+        if name in ("class", "id") and tag not in ("html", "body", "main", "article") and any(map(names_no_article, value.split())):
             return True
     return False
 
@@ -212,6 +219,8 @@ def main_text(source: str | None) -> str:
                 inside[e] = inside.get(e, 0) + len(text)
     holders = [e for e, size in inside.items() if size >= CONTAINED * total and page.labels[e].split(".")[0] not in ("p", "h1", "h2", "h3", "li", "td", "blockquote", "pre")]
     article = max(holders, key=lambda e: len(chain(e)), default=0)
+    # Where the page marks its article, a part of it that holds most of the text stands for the whole.
+    article = next((e for e in reversed(chain(article)) if page.labels[e].split(".")[0] == "article"), article)
     return "\n".join(text for element, text in page.blocks if article in chain(element))
 
 

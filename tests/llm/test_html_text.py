@@ -22,6 +22,13 @@ def test_article_without_its_surroundings():
     assert main_text(LAYOUT.format(article=ARTICLE)) == TEXT
 
 
+def test_layout_words_and_sections():
+    body = "<p>Long text of the first section, with commas, and more. It goes on, and on, and on, for a while, as it should.</p>"
+    page = f'<body><div class="content with-sidebar" data-id="ad-1"><article><section><h2>One</h2>{body * 9}</section><section><h2>Two</h2><p>Short.</p></section></article></div><div id="sidebar"><p>Other, side, text.</p></div></body>'
+    lines = main_text(page).split("\n")
+    assert lines[0] == "One" and lines[-2:] == ["Two", "Short."] and len(lines) == 12
+
+
 def test_awkward_pages(spark):
     pages = [None, "", "   ", "<p></p>", "plain words, no tags", "<script>var x = '<p>no</p>'", "<div>" * 3000 + "deep, text." + "</div>" * 10, "a < b, c > d", "<p>open <b>tags, <i>never closed", LAYOUT.format(article="<p>" + "word, and word. " * 30_000)]
     frame = spark.createDataFrame([(i, p, "x") for i, p in enumerate(pages)] + [(4, pages[4], "x")], "page_id long, html string, text string")
