@@ -63,28 +63,31 @@ def repeated_places(keys: Column) -> Column:
     return named(F.sort_array(F.transform(keys, lambda key, i: F.struct(key.alias("key"), i.alias("at")))), of)
 
 
+def repeated_words(found: Column) -> Column:
+    """Words inside windows of three words that occur twice or more. Most texts repeat no window, which the distinct count tells."""
+
+    def covered(places: Column) -> Column:
+        after = F.slice(places, F.lit(2), F.greatest(F.size(places) - 1, F.lit(0)))
+        steps = F.zip_with(places, after, lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
+        return F.aggregate(steps, F.lit(0), lambda total, x: total + x)
+
+    keys = F.when(F.size(found) >= WINDOW, window_keys(found)).otherwise(F.array().cast("array<bigint>"))
+    return named(keys, lambda k: F.when(F.size(F.array_distinct(k)) == F.size(k), F.lit(0)).otherwise(named(repeated_places(k), covered)))
+
+
 def measured(frame: DataFrame, text: str = "text") -> DataFrame:
     """Adds the base measures: ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines`` and ``n_repeat_words``."""
     value = F.col(text)
     none = F.lit(0).cast("long")
-    bare = without(value, WHITE)
     lines = F.filter(F.split(value, "\n"), lambda line: F.length(without(line, WHITE)) > 0)
     frame = frame.withColumns({
         "n_symbols": F.coalesce((F.octet_length(value) - F.octet_length(without(value, SYMBOLS))).cast("long"), none),
-        "word_chars": F.coalesce(F.length(bare).cast("long"), none),
-        "_lines": lines,
-        "_words": F.coalesce(words(value), F.array().cast("array<string>")),
-    })
-    frame = frame.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "n_dup_lines": F.coalesce((F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), none),
-        "_keys": F.when(F.size("_words") >= WINDOW, window_keys(F.col("_words"))).otherwise(F.array().cast("array<bigint>")),
+        "word_chars": F.coalesce(F.length(without(value, WHITE)).cast("long"), none),
+        "n_dup_lines": F.coalesce(named(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"), none),
+        # One expression, so that a filter on a measure never evaluates the words again for each of them.
+        "_counts": named(F.coalesce(words(value), F.array().cast("array<string>")), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("repeated"))),
     })
-    # Most texts repeat no window, which the distinct count tells.
-    frame = frame.withColumn("_places", F.when(F.size(F.array_distinct("_keys")) < F.size("_keys"), repeated_places(F.col("_keys"))).otherwise(F.array().cast("array<int>")))
-    steps = F.zip_with(F.col("_places"), F.slice(F.col("_places"), F.lit(2), F.greatest(F.size("_places") - 1, F.lit(0))), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
-    frame = frame.withColumn("n_repeat_words", F.aggregate(steps, F.lit(0), lambda total, x: total + x).cast("long"))
-    return frame.drop("_lines", "_words", "_keys", "_places")
+    return frame.withColumns({"n_words": F.col("_counts.n"), "n_repeat_words": F.col("_counts.repeated")}).drop("_counts")
 
 
 #: Rules of the cascade by name: the condition under which a text is rejected, on the measures and the text. The first
@@ -104,9 +107,9 @@ BASE = ("few_words", "repetition")
 def ordered_rules(frame: DataFrame) -> list[tuple[str, float, float]]:
     """Name, share of the sample that the rule rejects and its seconds, by falling rejection per second.
 
-    ``frame`` has the text and its measures. The sample is the first ``SAMPLE_ROWS`` rows that Spark finds, so it costs a
-    few files whatever the size of the input."""
-    sample = written(frame.limit(SAMPLE_ROWS), "quality-sample")
+    ``frame`` has the text. The sample is the first ``SAMPLE_ROWS`` rows that Spark finds, taken before anything is
+    measured."""
+    sample = written(measured(frame.limit(SAMPLE_ROWS)), "quality-sample")
     rows = max(sample.count(), 1)
     found = []
     for name, rule in RULES.items():
@@ -127,9 +130,8 @@ def judged(frame: DataFrame, order: list[str]) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    measures = measured(docs)
-    order = [name for name, _, _ in ordered_rules(measures)]
-    return judged(measures, order).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    order = [name for name, _, _ in ordered_rules(docs)]
+    return judged(measured(docs), order).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 _WORDS = "[^\\x20\\x09-\\x0D]+"

@@ -35,13 +35,14 @@ def test_measures_and_verdicts(spark):
 
 @pytest.mark.parametrize("turned", [False, True])
 def test_order_does_not_change_the_verdict(spark, sf_dir, turned):
-    measures = measured(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    order = [name for name, share, seconds in ordered_rules(measures)]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    measures = measured(docs)
+    order = [name for name, share, seconds in ordered_rules(docs)]
     assert sorted(order) == sorted(RULES)
     kept = judged(measures, order[::-1] if turned else order).where("kept").count()
     assert kept == judged(measures, list(RULES)).where("kept").count() > 0
 
 
 def test_empty_table(spark):
-    measures = measured(spark.createDataFrame([], "doc_id long, text string"))
-    assert judged(measures, [name for name, _, _ in ordered_rules(measures)]).count() == 0
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert judged(measured(docs), [name for name, _, _ in ordered_rules(docs)]).count() == 0
