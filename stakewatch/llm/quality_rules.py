@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from stakewatch.llm.common import table, written
 
 #: Rows that costs and rejections are estimated on.
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 1000
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
@@ -107,9 +107,10 @@ BASE = ("few_words", "repetition")
 def ordered_rules(frame: DataFrame) -> list[tuple[str, float, float]]:
     """Name, share of the sample that the rule rejects and its seconds, by falling rejection per second.
 
-    ``frame`` has the text. The sample is the first ``SAMPLE_ROWS`` rows that Spark finds, taken before anything is
-    measured."""
-    sample = written(measured(frame.limit(SAMPLE_ROWS)), "quality-sample")
+    ``frame`` has the text. The sample is the first ``SAMPLE_ROWS`` rows: taking them reads a few partitions, whatever the
+    size of the input, while a limit inside a plan would gather so many rows of every partition."""
+    rows = frame.select("text").take(SAMPLE_ROWS)
+    sample = written(measured(frame.sparkSession.createDataFrame(rows, "text string")), "quality-sample")
     rows = max(sample.count(), 1)
     found = []
     for name, rule in RULES.items():
