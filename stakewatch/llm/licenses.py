@@ -2,19 +2,23 @@
 
 Templates are cut into words; every ``GRAM`` words in a row have a hash, and of each ``WINNOW`` neighbouring hashes the
 smallest is kept as a fingerprint. An inverted index of these leads from the fingerprints of a text to templates and to the
-diagonal (place in the text minus place in the template) on which they lie. Neighbouring diagonals with enough
-fingerprints for the template's size are candidates; there a banded alignment of the two word sequences, one match point a
-word, tells which words of the template are there and where they begin and end in the text.
+diagonal (place in the text minus place in the template) on which they lie. Fingerprints that ascend in both are chained;
+chains with enough of them for the template's size are candidates; along them banded alignments of the two word sequences,
+one match point a word, tell which words of the template are there and where they begin and end in the text. The words that
+tell variants apart (numbers, ``VARIANTS``) must be there, and matches of all templates that overlap compete: the one wins
+with the most matched words less the unmatched ones of text and template.
 
 The index is made of the given templates, at most ``MAX_TEMPLATE_WORDS`` words in all, so every task can hold it.
 
-Defined results: null and empty texts have no matches; matches of one template that overlap are one, the one that covers
-more (the earlier of equals); very long texts are read whole, in time linear in their words for each candidate's surroundings;
+Defined results: null and empty texts have no matches; of matches that overlap one stays (of equals the earlier, then the
+first by name); very long texts are read whole, in time linear in their words for each candidate's surroundings;
 repeated rows repeat their matches; an empty table or no templates give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -59,6 +63,13 @@ the Free Software Foundation, either version 3 of the License, or (at your optio
     "all-rights-reserved": "All rights reserved.",
 }
 
+#: Words that tell variants apart, besides numbers. A template of up to ``SHORT`` words needs its own, and bears no other's
+#: inside its match; a longer one bears no other's among the first ``TITLE_WORDS`` of its match.
+VARIANTS = frozenset("nc nd sa noncommercial noderivatives noderivs sharealike affero lesser library".split())
+SHORT, TITLE_WORDS = 120, 20
+#: Earlier fingerprints that one may follow in a chain.
+LOOK_BACK = 64
+
 
 class Words:
     def __init__(self) -> None:
@@ -116,17 +127,70 @@ def aligned(text: np.ndarray, template: np.ndarray, shift: int) -> np.ndarray:
     return np.array(pairs[::-1], np.int64).reshape(-1, 2)
 
 
+def chains(seeds: list[tuple[int, int]], size: int) -> list[list[tuple[int, int]]]:
+    """Runs of fingerprints (place in the text, place in the template) that ascend in both, the best first.
+
+    A change of the diagonal costs by its size, so that an insertion or numbered lines are crossed and another occurrence
+    of the template is not."""
+    points = np.array(sorted(seeds), np.int64)
+    score, before = np.full(len(points), float(GRAM)), np.full(len(points), -1)
+    for i in range(1, len(points)):
+        low = max(0, i - LOOK_BACK)
+        step = points[i] - points[low:i]
+        jump = np.abs(step[:, 0] - step[:, 1])
+        value = score[low:i] + np.minimum(step.min(axis=1), GRAM) - 0.5 * np.log2(1 + jump) - 0.01 * jump
+        value[(step.min(axis=1) <= 0) | (step[:, 0] > size + BAND)] = -1
+        best = int(value.argmax())
+        if value[best] > score[i]:
+            score[i], before[i] = value[best], low + best
+    used = np.zeros(len(points), bool)
+    out = []
+    for i in np.argsort(-score, kind="stable").tolist():
+        chain = []
+        while i >= 0 and not used[i]:
+            used[i] = True
+            chain.append(i)
+            i = int(before[i])
+        if chain:
+            out.append([(int(points[i, 0]), int(points[i, 1])) for i in reversed(chain)])
+    return out
+
+
+def chain_pairs(text: np.ndarray, template: np.ndarray, chain: list[tuple[int, int]]) -> np.ndarray:
+    """Matched pairs along a chain: a banded alignment for every group of diagonals within a band."""
+    groups: list[list[tuple[int, int]]] = []
+    low = high = 0
+    for place, own in chain:
+        low, high = min(low, place - own), max(high, place - own)
+        if not groups or high - low > BAND:
+            groups.append([])
+            low = high = place - own
+        groups[-1].append((place, own))
+    out = []
+    for k, group in enumerate(groups):
+        shifts = [a - b for a, b in group]
+        first, text_first = (0, 0) if k == 0 else (group[0][1], group[0][0])
+        end, text_end = (len(template), len(text)) if k + 1 == len(groups) else (groups[k + 1][0][1], groups[k + 1][0][0])
+        pairs = aligned(text[text_first:text_end], template[first:end], (min(shifts) + max(shifts)) // 2 + first - text_first)
+        out.append(pairs + np.array([text_first, first]))
+    return np.concatenate(out)
+
+
 class Index:
     """Templates, and their fingerprints' places by hash."""
 
     def __init__(self, templates: dict[str, str]) -> None:
         self.words = Words()
         self.names = sorted(templates)
-        self.templates, self.expected = [], []
+        self.templates, self.expected, self.needed = [], [], []
+        self.variants = self.words.of(pa.array([" ".join(sorted(VARIANTS))]))[0]
         by_hash: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, name in enumerate(self.names):
             words = self.words.of(pa.array([templates[name]]))[0]
             places, hashes = fingerprints(words)
+            plain = re.findall(r"[a-z0-9\x80-\U0010ffff]+", templates[name].lower())
+            telling = sorted({word for word in plain if word in VARIANTS or word.isdigit()}) if len(words) <= SHORT else []
+            self.needed.append(self.words.of(pa.array([" ".join(telling)]))[0])
             self.templates.append(words)
             self.expected.append(len(places))
             for place, value in zip(places.tolist(), hashes.tolist(), strict=True):
@@ -138,33 +202,38 @@ class Index:
         """(template, first word, last word, coverage) in one text."""
         if not len(words) or not len(self.hashes):
             return []
-        votes: dict[int, list[int]] = defaultdict(list)
+        votes: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for size in {min(GRAM, len(t)) for t in self.templates}:
             grams = shingle_hashes(words, size)
             at = np.minimum(np.searchsorted(self.hashes, grams), len(self.hashes) - 1)
             for place in np.flatnonzero(self.hashes[at] == grams).tolist():
                 for template, own in self.by_hash[int(grams[place])]:
-                    votes[template].append(place - own)
+                    votes[template].append((place, own))
         found = []
-        for template, shifts in votes.items():
-            size = len(self.templates[template])
-            shifts.sort()
-            best: list[tuple[float, int, int]] = []
-            start = 0
-            for i in range(1, len(shifts) + 1):  # groups of diagonals that lie within a band
-                if i < len(shifts) and shifts[i] - shifts[start] <= BAND:
+        for template, seeds in votes.items():
+            whole = self.templates[template]
+            if len(seeds) < max(1, self.expected[template] * COVERAGE / 4) or not np.isin(self.needed[template], words).all():
+                continue
+            for chain in chains(seeds, len(whole)):
+                if len(chain) < max(1, self.expected[template] * COVERAGE / 4):
+                    continue
+                pairs = chain_pairs(words, whole, chain)
+                if len(pairs) < COVERAGE * len(whole) or not np.isin(self.needed[template], whole[pairs[:, 1]]).all():
                     continue
-                if i - start >= max(1, self.expected[template] * COVERAGE / 4):
-                    pairs = aligned(words, self.templates[template], (shifts[start] + shifts[i - 1]) // 2)
-                    if len(pairs) >= COVERAGE * size:
-                        best.append((len(pairs) / size, int(pairs[0, 0]), int(pairs[-1, 0])))
-                start = i
-            taken: list[tuple[int, int]] = []
-            for coverage, low, high in sorted(best, key=lambda x: (-x[0], x[1])):
-                if all(high < a or b < low for a, b in taken):
-                    taken.append((low, high))
-                    found.append((template, low, high, coverage))
-        return sorted(found, key=lambda x: (x[1], x[0]))
+                low, high = int(pairs[0, 0]), int(pairs[-1, 0])
+                seen = np.setdiff1d(np.arange(low, high + 1 if len(whole) <= SHORT else min(high + 1, low + TITLE_WORDS)), pairs[:, 0])
+                if not np.isin(words[seen], self.variants).any():
+                    # What is missing on either side counts against a match, so that of variants the nearest one wins.
+                    score = 3 * len(pairs) - (high + 1 - low) - len(whole)
+                    found.append((score, template, low, high, len(pairs) / len(whole)))
+        taken: list[tuple[int, int]] = []
+        out = []
+        for _, template, low, high, coverage in sorted(found, key=lambda x: (-x[0], x[2], x[1])):
+            at = bisect.bisect_left(taken, (low, high))
+            if (at == 0 or taken[at - 1][1] < low) and (at == len(taken) or taken[at][0] > high):
+                taken.insert(at, (low, high))
+                out.append((template, low, high, coverage))
+        return sorted(out, key=lambda x: (x[1], x[0]))
 
 
 def license_matches(frame: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

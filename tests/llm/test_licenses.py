@@ -54,3 +54,15 @@ def test_query(spark, sf_dir):
             if line in (row.text or ""):
                 assert any(r.doc_id == row.doc_id and r.license == name and r.coverage == 1 for r in rows), (row.doc_id, name)
     assert rows and not re.search("None", str(rows))
+
+
+def found(spark, texts):
+    rows = license_matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [sorted(row.license for row in rows if row.doc_id == i) for i in range(len(texts))]
+
+
+def test_variants_without_a_template_and_insertions(spark):
+    words = TEMPLATES["mit"].split()
+    inserted = " ".join([*words[:55], *(f"clause{i}" for i in range(30)), *words[55:]])
+    texts = ["This work is licensed under the GNU General Public License, version 7.", inserted, TEMPLATES["mit"] + " x " * 40 + TEMPLATES["mit"]]
+    assert found(spark, texts) == [[], ["mit"], ["mit", "mit"]]
