@@ -21,6 +21,7 @@ import bisect
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +62,49 @@ the Free Software Foundation, either version 3 of the License, or (at your optio
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "all-rights-reserved": "All rights reserved.",
+    "gpl-2.0-line": "This work is licensed under the GNU General Public License, version 2.",
+    "gpl-2.0-notice": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or (at your option) any later version.""",
+    "gpl-2.0-only-notice": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2
+as published by the Free Software Foundation.""",
+    "lgpl-2.1-line": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "lgpl-2.1-notice": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by
+the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""",
+    "lgpl-3.0-line": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "lgpl-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by
+the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "agpl-3.0-line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "agpl-3.0-title": "GNU Affero General Public License Version 3, 19 November 2007",
+    "agpl-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "mpl-2.0-line": "Licensed under the Mozilla Public License, Version 2.0.",
+    "mpl-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file,
+You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "epl-1.0-notice": """All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which
+accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html""",
+    "epl-2.0-notice": """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/""",
+    "epl-1.0-title": "Eclipse Public License - v 1.0",
+    "epl-2.0-title": "Eclipse Public License - v 2.0",
+    "cc0-1.0-line": "Licensed under CC0 1.0 Universal.",
+    "cc0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0.",
+    "unlicense-line": "This is free and unencumbered software released into the public domain.",
+    "bsd-disclaimer": """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,
+THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT,
+INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS;
+OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY
+OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
 }
+#: Creative Commons licences: short form, name and the later versions' territory.
+CC_PARTS = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nd": "Attribution-NoDerivatives", "by-nc": "Attribution-NonCommercial", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+for _part, _name in CC_PARTS.items():
+    for _version, _territory in (("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")):
+        _statement, _line = f"This work is licensed under a Creative Commons {_name} {_version} {_territory} License.", f"Licensed under CC {_part.upper()} {_version}."
+        for _key, _text in ((f"cc-{_part}-{_version}-line", _line), (f"cc-{_part}-{_version}-statement", _statement), (f"cc-{_part}-{_version}-title", f"Creative Commons {_name} {_version} {_territory}")):
+            if _text not in TEMPLATES.values():
+                TEMPLATES[_key] = _text
+#: Whole texts, one file each, named by licence and version.
+TEMPLATES |= {path.stem: path.read_text(encoding="utf-8") for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 
 #: Words that tell variants apart, besides numbers. A template of up to ``SHORT`` words needs its own, and bears no other's
 #: inside its match; a longer one bears no other's among the first ``TITLE_WORDS`` of its match.

@@ -61,8 +61,22 @@ def found(spark, texts):
     return [sorted(row.license for row in rows if row.doc_id == i) for i in range(len(texts))]
 
 
-def test_variants_without_a_template_and_insertions(spark):
+def test_whole_texts_and_notices_are_known(spark):
+    names = [*"apache-2.0 gpl-2.0 gpl-3.0 lgpl-2.1 lgpl-3.0 mpl-2.0 cc0-1.0 unlicense bsd-2-clause bsd-3-clause bsd-disclaimer epl-2.0-notice agpl-3.0-notice".split()]
+    assert found(spark, [f"é before it {TEMPLATES[name]} after it" for name in names]) == [[name] for name in names]
+
+
+def test_variants_are_told_apart(spark):
+    texts = [
+        "Licensed under CC BY 4.0", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 2.", "This work is licensed under the GNU General Public License, version 7.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",
+    ]
+    assert found(spark, texts) == [["cc-by-4.0-line"], ["cc-by-nc-4.0"], ["gpl-2.0-line"], [], ["cc-by-nc-nd-4.0-statement"], ["cc-by-sa-3.0-statement"]]
+
+
+def test_insertions_and_line_numbers(spark):
     words = TEMPLATES["mit"].split()
     inserted = " ".join([*words[:55], *(f"clause{i}" for i in range(30)), *words[55:]])
-    texts = ["This work is licensed under the GNU General Public License, version 7.", inserted, TEMPLATES["mit"] + " x " * 40 + TEMPLATES["mit"]]
-    assert found(spark, texts) == [[], ["mit"], ["mit", "mit"]]
+    lines = TEMPLATES["gpl-2.0"].splitlines()
+    numbered = "\n".join(f"{i} {line}" for i, line in enumerate(lines, 1000))
+    assert found(spark, [inserted, numbered, TEMPLATES["mit"] + " x " * 40 + TEMPLATES["mit"]]) == [["mit"], ["gpl-2.0"], ["mit", "mit"]]
