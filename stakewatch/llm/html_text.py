@@ -34,7 +34,8 @@ SMOOTHING = (0.25, 0.5, 0.25)
 CONTAINED = 0.9
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
-ATTRIBUTE = re.compile(r"(?i)(?<![\w-])(class|id|role|aria-label|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: One attribute, or a stray quoted value; read one after the other, so that nothing inside a value counts as a name.
+ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?|\"[^\"]*\"|'[^']*'")
 WHITE = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+")
 PUNCTUATION = ".,;:!?…،。、！？"
@@ -70,9 +71,11 @@ def left_out(tag: str, attributes: str) -> bool:
     for name, *values in ATTRIBUTE.findall(attributes) if attributes else ():
         value = "".join(values).lower()
         name = name.lower()
-        if name == "hidden" or name == "role" and value in ROLES:
+        if name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "main", "article") and any(map(names_no_article, value.split())):
+        if tag in ("html", "body", "main", "article"):
+            continue
+        if name == "hidden" or name in ("class", "id") and any(map(names_no_article, value.split())):
             return True
     return False
 

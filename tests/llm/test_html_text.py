@@ -47,3 +47,10 @@ def test_query(spark, sf_dir):
         blocks = re.split("</?(?:p|h1)>", re.sub("</?b>", "", re.sub("<br>", " ", inner)))
         want = [" ".join(html.unescape(block).split()) for block in blocks]
         assert row.text == "\n".join(filter(None, want)) and row.n_chars == len(row.text) and row.url == pages[row.page_id].url
+
+
+def test_attributes_are_names_and_values():
+    for odd in ('style="overflow:hidden"', 'title="a hidden gem"', "title='class=sidebar'", "href=/p?id=search", 'data-x="role=navigation"', "data-hidden"):
+        assert main_text(f"<body {odd}><div {odd}><p {odd}>Text, of the page.</p></div></body>") == "Text, of the page.", odd
+    for named in ("hidden", "hidden=''", "ID = search", "class='x sidebar'", 'title="a \'b" role=navigation'):
+        assert main_text(f"<body><p>Text, of the page.</p><div {named}>Other text, left out.</div></body>") == "Text, of the page.", named
