@@ -3,8 +3,10 @@
 A page is read once into blocks of text, each with its path of tags from the root (a tag with its first class). Text of the
 same path is added up: its length and its punctuation, for each of its blocks. These two ratios are smoothed over
 neighbouring paths in page order, divided by the page's means and fused into one score; paths whose score reaches
-``THRESHOLD`` of the best are content. The article is the deepest element that holds most of that text, and every block in it
-belongs to it, headings and short lines as well; inside an ``article`` element that one is taken whole.
+``THRESHOLD`` of the best are content. The article is the deepest element that holds all of them, and every block in it
+belongs to it, headings and short lines as well; inside an ``article`` element that one is taken whole. Headings,
+paragraphs and quotes that stand directly in an element around the article belong to it, too, and so do the page's first-level
+headings before it.
 
 Parts that are no article by what they are named are left out before: menus, headers, footers, sidebars, notices, adverts,
 forms, reader comments, scripts and styles, by tag, role, or a word of the class or id.
@@ -30,8 +32,9 @@ from stakewatch.llm.common import map_batches, table, text_slices
 #: Share of the best score that a content path reaches, and weights of a path and its neighbours when smoothing.
 THRESHOLD = 0.25
 SMOOTHING = (0.25, 0.5, 0.25)
-#: Share of the content's text that the article's element must hold.
-CONTAINED = 0.9
+#: Blocks that belong to the article where they stand directly in an element around it.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+STANDING = HEADINGS | frozenset("p blockquote pre".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 #: One attribute, or a stray quoted value; read one after the other, so that nothing inside a value counts as a name.
@@ -213,18 +216,26 @@ def main_text(source: str | None) -> str:
     texts = [text for _, text in page.blocks]
     scores = path_scores(paths, texts)
     limit = THRESHOLD * max(scores.values())
-    inside: dict[int, int] = {}
-    total = 0
-    for (element, text), path in zip(page.blocks, paths, strict=True):
+    shared: list[int] | None = None
+    for (element, _), path in zip(page.blocks, paths, strict=True):
         if scores[path] >= limit:
-            total += len(text)
-            for e in chain(element):
-                inside[e] = inside.get(e, 0) + len(text)
-    holders = [e for e, size in inside.items() if size >= CONTAINED * total and page.labels[e].split(".")[0] not in ("p", "h1", "h2", "h3", "li", "td", "blockquote", "pre")]
-    article = max(holders, key=lambda e: len(chain(e)), default=0)
-    # Where the page marks its article, a part of it that holds most of the text stands for the whole.
-    article = next((e for e in reversed(chain(article)) if page.labels[e].split(".")[0] == "article"), article)
-    return "\n".join(text for element, text in page.blocks if article in chain(element))
+            own = chain(element)
+            same = len(own) if shared is None else next((i for i, (x, y) in enumerate(zip(shared, own)) if x != y), min(len(shared), len(own)))
+            shared = own[:same]
+    tag = lambda element: page.labels[element].split(".")[0]
+    while len(shared) > 1 and tag(shared[-1]) in STANDING | {"li", "td"}:
+        shared = shared[:-1]
+    # Where the page marks its article, a part of it that holds the content stands for the whole.
+    marked = next((i for i in range(len(shared) - 1, -1, -1) if tag(shared[i]) == "article"), None)
+    around = set(shared if marked is None else shared[: marked + 1])
+    article = shared[-1] if marked is None else shared[marked]
+    out, begun = [], False
+    for element, text in page.blocks:
+        inside = article in chain(element)
+        begun = begun or inside
+        if inside or element in around and element != 0 or tag(element) in STANDING and page.parents[element] in around or tag(element) == "h1" and not begun:
+            out.append(text)
+    return "\n".join(out)
 
 
 def extracted(frame: DataFrame, key: str = "page_id", page: str = "html") -> DataFrame:

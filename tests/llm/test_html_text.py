@@ -54,3 +54,14 @@ def test_attributes_are_names_and_values():
         assert main_text(f"<body {odd}><div {odd}><p {odd}>Text, of the page.</p></div></body>") == "Text, of the page.", odd
     for named in ("hidden", "hidden=''", "ID = search", "class='x sidebar'", 'title="a \'b" role=navigation'):
         assert main_text(f"<body><p>Text, of the page.</p><div {named}>Other text, left out.</div></body>") == "Text, of the page.", named
+
+
+def test_nothing_of_the_article_goes_outside_its_largest_part():
+    body = "<p>Long text of the story, with commas, and more. It goes on, and on, and on, for a while, as it should.</p>"
+    lines = main_text(f"<body><div id=content><h1>Headline</h1><p>The lede.</p><div class=body>{body * 30}</div></div></body>").split("\n")
+    assert lines[:2] == ["Headline", "The lede."] and len(lines) == 32
+    lines = main_text(f"<body><div class=head><h1>Headline</h1></div><div class=story>{body * 30}</div><p>Last words.</p></body>").split("\n")
+    assert lines[0] == "Headline" and lines[-1] == "Last words." and len(lines) == 32
+    sections = "".join(f"<div class=part><h2>Part {i}</h2>{body * n}</div>" for i, n in enumerate((30, 20, 1)))
+    lines = main_text(f"<body><div>{sections}</div></body>").split("\n")
+    assert [line for line in lines if line.startswith("Part")] == ["Part 0", "Part 1", "Part 2"] and len(lines) == 54
