@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stakewatch.llm import exact_search, hard_negatives, line_dedup, quality_rules
+from stakewatch.llm import exact_search, hard_negatives, line_dedup, merkle_manifest, quality_rules
 from stakewatch.llm.byte_bpe import op8_byte_bpe
 from stakewatch.llm.decontaminate import op9_decontaminate
 from stakewatch.llm.html_text import op2_html_text
@@ -24,11 +24,13 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_minhash": op10_minhash,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
     "op13_exact_search": exact_search.op13_exact_search,
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op4_quality_rules": quality_rules.ORACLE_SQL,
     "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op12_merkle_manifest": merkle_manifest.ORACLE_SQL,
     "op13_exact_search": exact_search.ORACLE_SQL,
 }
