@@ -10,7 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-VALUE_RANGES = 128
+from stakewatch.operators.total_order import numbered, value_positions
+
 COPY_CHUNK = 1_000_000
 
 
@@ -55,50 +56,6 @@ def mark_copies(df: DataFrame, keys: list[str], order: list[str], flag: str = "i
     )
 
 
-def range_number(value: Column, cuts: Column, count: int) -> Column:
-    """Which of ``count`` ranges a value falls in, found by halving: seven comparisons for 128 ranges."""
-
-    def within(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(value <= cuts[middle], within(low, middle)).otherwise(within(middle + 1, high))
-
-    return within(0, count - 1)
-
-
-def value_positions(df: DataFrame, keys: list[str], value: str, then: str | None = None) -> DataFrame:
-    """Per key and distinct value: rows equal to it, rows below it, rows in all.
-
-    With ``then`` the value is the pair of both columns, ordered by the first and then the second. Works on counts
-    per distinct value, cut into ranges at approximate quantiles of the first column; only the (at most 128) range
-    totals of a key are ever summed in one place, and only distinct values of one range are sorted together.
-    """
-    values = [value] if then is None else [value, then]
-    counts = df.groupBy(*keys, *values).agg(F.count(F.lit(1)).alias("n_equal"))
-    shares = [i / VALUE_RANGES for i in range(1, VALUE_RANGES)]
-    cuts = F.percentile_approx(F.col(value).cast("double"), shares, 2000).alias("_cuts")
-    total = F.sum("n_equal").alias("n_total")
-    if keys:
-        placed = counts.join(counts.groupBy(*keys).agg(cuts, total), keys)
-    else:
-        one = counts.agg(F.struct(cuts, total).alias("m")).scalar()
-        placed = counts.withColumn("_m", one).select("*", "_m._cuts", "_m.n_total").drop("_m")
-    number = range_number(F.col(value).cast("double"), F.col("_cuts"), VALUE_RANGES)
-    placed = placed.withColumn("_range", number).drop("_cuts")
-    ranges = placed.groupBy(*keys, "_range").agg(F.sum("n_equal").alias("_in_range"))
-    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_in_range").over(earlier), F.lit(0))).drop("_in_range")
-    # A null falls into the last range and comes last there.
-    inside = Window.partitionBy(*keys, "_range").orderBy(*[F.asc_nulls_last(v) for v in values]).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("n_equal").over(inside), F.lit(0))
-    return (
-        placed.withColumn("_inside", below)
-        .join(ranges, [*keys, "_range"])
-        .select(*keys, *values, "n_equal", (F.col("_before") + F.col("_inside")).alias("n_below"), "n_total")
-    )
-
-
 def with_positions_of(rows: DataFrame, positions: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Rows with the figures of their value; a missing value has its own."""
     names = {c: f"_of_{c}" for c in [*keys, *values]}
@@ -108,7 +65,7 @@ def with_positions_of(rows: DataFrame, positions: DataFrame, keys: list[str], va
 
 def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Exact median per key for values of any number; nulls are left out."""
-    positions = value_positions(df.filter(F.col(value).isNotNull()).select(*keys, value), keys, value)
+    positions = value_positions(df.filter(F.col(value).isNotNull()).select(*keys, value), keys, [value])
     low = F.floor((F.col("n_total") - 1) / 2.0)
     high = F.floor(F.col("n_total") / 2.0)
 
@@ -120,17 +77,5 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataF
 
 
 def rank_rows(df: DataFrame, keys: list[str], scores: list[Column], ties: list[Column], name: str = "rank") -> DataFrame:
-    """Positions 1..n per key: by one or two scores, highest first, then by the tie columns.
-
-    Rows with different scores are placed by counting; only rows equal in all scores are numbered together. A missing
-    score comes after all others.
-    """
-    named = {f"_score{i}": -score for i, score in enumerate(scores)}
-    scored = df.withColumns(named)
-    positions = value_positions(scored, keys, *named).drop("n_equal", "n_total")
-    among = Window.partitionBy(*keys, *named).orderBy(*ties)
-    return (
-        with_positions_of(scored, positions, keys, list(named))
-        .withColumn(name, (F.col("n_below") + F.row_number().over(among)).cast("int"))
-        .drop(*named, "n_below")
-    )
+    """Positions 1..n per key: by the scores, highest first and missing ones last, then by the tie columns."""
+    return numbered(df, keys, [*[score.desc_nulls_last() for score in scores], *ties], name)

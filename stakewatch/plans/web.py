@@ -727,7 +727,7 @@ def r18(spark, sf_dir):
 )
 def w17(spark, sf_dir):
     base = tables.signals(spark, sf_dir).select("event_id", "behavior_change_score", "conviction_score")
-    both = evidence.mid_rank(evidence.mid_rank(base, "behavior_change_score", "x_rank"), "conviction_score", "y_rank", descending=True)
+    both = evidence.mid_ranks(base, {"x_rank": ("behavior_change_score", False), "y_rank": ("conviction_score", True)})
     return rounded(both.select("event_id", "x_rank", "y_rank"), 9, "x_rank", "y_rank")
 
 
@@ -738,8 +738,8 @@ def w17(spark, sf_dir):
 )
 def w18(spark, sf_dir):
     base = tables.signals(spark, sf_dir).select("event_id", "purchase_value", "unique_buyers")
-    one = evidence.share_at_or_below(base, "purchase_value", "value_percentile")
-    return evidence.share_at_or_below(one, "unique_buyers", "buyers_percentile").select("event_id", "value_percentile", "buyers_percentile")
+    shares = evidence.shares_at_or_below(base, {"value_percentile": "purchase_value", "buyers_percentile": "unique_buyers"})
+    return shares.select("event_id", "value_percentile", "buyers_percentile")
 
 
 @query(

@@ -9,9 +9,10 @@ from stakewatch import params
 from stakewatch.functions import dates, identity, numeric, text
 from stakewatch.functions.roles import roles_from_title
 from stakewatch.operators import events, normalize, prices, quality, rankings, signals, stories
-from stakewatch.operators.evidence import mid_rank
-from stakewatch.operators.grouping import exact_median, mark_copies, rank_rows, value_positions
+from stakewatch.operators.evidence import mid_ranks
+from stakewatch.operators.grouping import exact_median, mark_copies, rank_rows
 from stakewatch.operators.history import with_daily_history
+from stakewatch.operators.total_order import value_positions
 from stakewatch.sources import filings, indexes
 
 
@@ -324,7 +325,7 @@ def test_positions_ranks_and_medians_match_brute_force(spark):
     by_key = {}
     for k, v, w, i in rows:
         by_key.setdefault(k, []).append((v, w, i))
-    for r in value_positions(frame, ["k"], "v").collect():
+    for r in value_positions(frame, ["k"], ["v"]).collect():
         values = [v for v, _, _ in by_key[r.k]]
         assert (r.n_equal, r.n_below, r.n_total) == (values.count(r.v), sum(x < r.v for x in values), len(values))
     assert {r.k: r.m for r in exact_median(frame, ["k"], "v", "m").collect()} == {k: median(v for v, _, _ in x) for k, x in by_key.items()}
@@ -339,7 +340,7 @@ def test_missing_scores_come_last(spark):
     frame = spark.createDataFrame(rows, "k string, v double, i int")
     ranked = {r.i: r["rank"] for r in rank_rows(frame, ["k"], [F.col("v")], [F.col("i")]).collect()}
     assert ranked == {2: 1, 0: 2, 1: 3, 3: 4, 4: 1}
-    assert {r.i: r.p for r in mid_rank(frame, "v", "p").collect()}.keys() == set(range(5))
+    assert {r.i: r.p for r in mid_ranks(frame, {"p": ("v", False)}).collect()}.keys() == set(range(5))
 
 
 def test_a_cluster_needs_a_shared_folder():
