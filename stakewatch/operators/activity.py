@@ -9,6 +9,7 @@ from stakewatch.functions.narrative import feed_detail, feed_summary
 from stakewatch.functions.numeric import change_percent, clamp, ratio, round_to, safe_number
 from stakewatch.functions.text import display_ticker, first_text, usable_text
 from stakewatch.operators.grouping import exact_median, first_per_key, last_per_key, rank_rows
+from stakewatch.operators.total_order import laid_out
 from stakewatch.operators.rankings import section_number
 
 PERIOD_DAYS = {"1d": 1, "7d": 7, "30d": 30, "90d": 90}
@@ -333,11 +334,24 @@ def landscape_strength(prefix: str = "") -> Column:
 STRENGTHS = {"consensus": consensus_strength, "landscape": landscape_strength, "ladder": ladder_score}
 
 
+def with_largest_so_far(rows: DataFrame, key: str, place: str, columns: list[str]) -> DataFrame:
+    """Adds ``_so_far_`` and the name of each column: its largest value over the key's rows at earlier places."""
+    rows = laid_out(rows, [key], [F.asc(place)], "merged")
+    ranges = rows.groupBy(key, "_range").agg(*[F.max(c).alias(f"_in_{c}") for c in columns])
+    earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(key, "_range", *[F.max(f"_in_{c}").over(earlier).alias(f"_before_{c}") for c in columns])
+    inside = Window.partitionBy(key, "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    both = rows.join(ranges, [key, "_range"]).withColumns({f"_so_far_{c}": F.greatest(F.col(f"_before_{c}"), F.max(c).over(inside)) for c in columns})
+    return both.drop("_range", "_at", *[f"_before_{c}" for c in columns])
+
+
 def merge_companies(items: DataFrame, strength: str) -> DataFrame:
-    """One row per company from section items: largest figures, first named sector, and the headline of the last item
-    that was stronger than everything merged before it.
+    """One row per company from ranked items of any number: largest figures, first named sector, and the headline of the
+    last item that was stronger than everything merged before it.
 
-    Made for discovery sections, which hold a fixed number of items each, so a company's items are few.
+    The largest figures so far combine in any grouping, so items are laid out in one total order, each range of it gives its
+    maxima per company, and what came before a range is known from those; only the rows of one company in one range are ever
+    walked through together.
     """
     identity = [usable_text(F.col("issuer_cik")), F.upper(usable_text(F.col("ticker"))), F.lower(usable_text(F.col("company_name")))]
     plain = items.select(
@@ -355,12 +369,10 @@ def merge_companies(items: DataFrame, strength: str) -> DataFrame:
         F.greatest(F.lit(0.0), safe_number(F.col("purchase_multiple"))).alias("multiple"),
         F.struct(section_number(F.col("ranking_category")).alias("section"), F.col("rank")).alias("_place"),
     ).filter("ticker <> ''")
-    before = Window.partitionBy("id").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
     score = STRENGTHS[strength]
-    merged = plain.withColumns({f"_so_far_{c}": F.max(c).over(before) for c in STRENGTH_FIELDS})
-    merged = merged.withColumn("_own", round_to(score(), 6))
+    merged = with_largest_so_far(plain.withColumn("_own", round_to(score(), 6)), "id", "_place", [*STRENGTH_FIELDS, "_own"])
     # The ladder keeps the best score of any item; the other two score the merged figures.
-    held = F.max("_own").over(before) if strength == "ladder" else round_to(score("_so_far_"), 6)
+    held = F.col("_so_far__own") if strength == "ladder" else round_to(score("_so_far_"), 6)
     merged = merged.withColumn("_stronger", F.coalesce(F.col("_own") > held, F.lit(True)))
     named = F.col("sector") != "Unclassified"
     return merged.groupBy("id").agg(

@@ -31,6 +31,47 @@ def with_trailing_highest(rows: DataFrame, column: str, frames: dict[str, int])
     return rows
 
 
+def with_trailing_moments(rows: DataFrame, frames: dict[str, tuple[str, int]]) -> DataFrame:
+    """Adds for each name and (column, n) of ``frames`` a struct of the count, mean and sum of squares about the mean (``n``,
+    ``mean``, ``m2``) of the column's known values in the last n sessions.
+
+    Blocks and frames are as in ``with_trailing_highest``. Squares at both ends of a frame are running sums about the mean of
+    their own block, so that large values with small steps keep their digits, and are merged as two samples are. No
+    frame is walked through row by row."""
+    line = Window.partitionBy("ticker").orderBy("_n")
+    for name, (column, n) in frames.items():
+        inside = Window.partitionBy("ticker", "_block")
+        rows = rows.withColumn("_block", F.floor((F.col("_n") - 1) / float(n))).withColumn("_centre", F.avg(column).over(inside))
+        away = F.col(column) - F.col("_centre")
+        ends = {}
+        for end, order in (("_upto", F.col("_n").asc()), ("_from", F.col("_n").desc())):
+            so_far = inside.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+            ends[end] = F.struct(F.count(column).over(so_far).alias("n"), F.sum(column).over(so_far).alias("t"), F.sum(away).over(so_far).alias("s"), F.sum(away * away).over(so_far).alias("q"), F.col("_centre").alias("c"))
+        rows = rows.withColumns(ends)
+        # The frame of a block's last session is the block itself.
+        whole = F.col("_n") % n == 0
+        rows = rows.withColumn("_from", F.when(~whole, F.lag("_from", n - 1).over(line)))
+        rows = rows.withColumn(name, merged_moments(F.col("_from"), F.col("_upto"))).drop("_block", "_centre", "_upto", "_from")
+    return rows
+
+
+def merged_moments(left: Column, right: Column) -> Column:
+    """Moments of two samples together, each given as count, sum ``t``, and sum ``s`` and sum of squares ``q`` about its ``c``."""
+
+    def moments(part: Column) -> tuple[Column, Column, Column]:
+        n = F.coalesce(part["n"], F.lit(0))
+        shift = F.when(n > 0, part["s"] / n)
+        return n, F.coalesce(part["c"] + shift, F.lit(0.0)), F.coalesce(part["q"] - part["s"] * shift, F.lit(0.0))
+
+    (n1, mean1, m1), (n2, mean2, m2) = moments(left), moments(right)
+    n = n1 + n2
+    share = F.when(n > 0, n2 / n)
+    apart = F.when((n1 > 0) & (n2 > 0), mean2 - mean1).otherwise(F.lit(0.0))
+    mean = (F.coalesce(left["t"], F.lit(0.0)) + F.coalesce(right["t"], F.lit(0.0))) / F.nullif(n, F.lit(0))
+    squares = F.greatest(m1 + m2 + apart * apart * n1 * share, F.lit(0.0))
+    return F.struct(n.alias("n"), mean.alias("mean"), F.when(n > 0, squares).alias("m2"))
+
+
 def session_context(prices: DataFrame) -> DataFrame:
     """Rolling columns of each session, computed once per (ticker, date) and shared by all purchases.
 
@@ -44,10 +85,7 @@ def session_context(prices: DataFrame) -> DataFrame:
         {"_n": position, "_return": daily_return, "_dollars": F.col("close") * F.col("volume")}
     )
     base = with_trailing_highest(base, "high", {"_high_52w": 252, "_high_3y": 756})
-
-    def last(n: int) -> object:
-        return line.rowsBetween(-(n - 1), 0)
-
+    base = with_trailing_moments(base, {"_close_200": ("close", 200), "_return_63": ("_return", 63), "_dollars_63": ("_dollars", 63)})
     later_splits = F.collect_list(F.when(F.col("stock_splits") > 0, F.col("stock_splits").cast("double"))).over(
         back.rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -56,18 +94,16 @@ def session_context(prices: DataFrame) -> DataFrame:
         **{f"return_prior_{n}d": ratio(F.col("close"), F.lag("close", n).over(line)) - 1 for n in params.PRIOR_SESSIONS},
         "drawdown_52w": ratio(F.col("close"), F.col("_high_52w")) - 1,
         "drawdown_3y": ratio(F.col("close"), F.col("_high_3y")) - 1,
-        "distance_200d_ma": F.when(F.col("_n") >= 200, ratio(F.col("close"), F.avg("close").over(last(200))) - 1),
-        "realized_volatility_63d": F.when(
-            F.count("_return").over(last(63)) >= 63, F.stddev_samp("_return").over(last(63)) * F.lit(252.0 ** 0.5)
-        ),
-        "average_dollar_volume_63d": F.avg("_dollars").over(last(63)),
+        "distance_200d_ma": F.when(F.col("_n") >= 200, ratio(F.col("close"), F.col("_close_200.mean")) - 1),
+        "realized_volatility_63d": F.when(F.col("_return_63.n") >= 63, F.sqrt(F.col("_return_63.m2") / 62) * F.lit(252.0 ** 0.5)),
+        "average_dollar_volume_63d": F.col("_dollars_63.mean"),
         "split_factor_after": F.aggregate(later_splits, F.lit(1.0), lambda total, split: total * split),
         **{
             f"evaluation_forward_return_{n}d": ratio(F.lead("close", n).over(line), F.col("close")) - 1
             for n in params.FORWARD_SESSIONS
         },
     }
-    return base.withColumns(columns).drop("_n", "_return", "_dollars", "_high_52w", "_high_3y")
+    return base.withColumns(columns).drop("_n", "_return", "_dollars", "_high_52w", "_high_3y", "_close_200", "_return_63", "_dollars_63")
 
 
 CONTEXT_COLUMNS = [

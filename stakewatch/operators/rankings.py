@@ -235,7 +235,7 @@ def latest_stories(signals: DataFrame, ranked: DataFrame, count: int = 6) -> Dat
         F.row_number().over(Window.orderBy(F.desc("transaction_date"), F.asc("conviction_score"), F.desc("event_id"))).alias("_n"),
     )
     cards = first_per_key(
-        ranked.filter("rank <= 100").select("ticker", "latest_filing_date", "headline", "ranking_category", "rank", "purchase_value", "stable_key"),
+        ranked.select("ticker", "latest_filing_date", "headline", "ranking_category", "rank", "purchase_value", "stable_key"),
         ["ticker", "latest_filing_date", "headline"], [section_number(F.col("ranking_category")), F.col("rank")],
     )
     order = [section_number(F.col("ranking_category")), F.col("rank")]

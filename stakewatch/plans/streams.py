@@ -35,8 +35,9 @@ def st2(spark, sf_dir):
     stored.write.mode("append").parquet(inbox)
     fresh.write.mode("append").parquet(inbox)
     stream = jobs.file_stream(spark, inbox, stored.schema, per_trigger=2)
-    loads = finish(stream, spark, "price-table")
-    return jobs.current_prices(loads).select("ticker", "date", round_to(F.col("close"), 6).alias("close"), "load_no")
+    path = scratch(spark, "price-table")
+    jobs.upsert_prices(stream, path, scratch(spark, "price-table-checkpoint")).awaitTermination()
+    return spark.read.parquet(path).select("ticker", "date", round_to(F.col("close"), 6).alias("close"), "load_no")
 
 
 @query(
@@ -45,14 +46,14 @@ def st2(spark, sf_dir):
     ("ranked",),
 )
 def st3(spark, sf_dir):
-    latest = tables.ranked(spark, sf_dir).select("ranking_category", "rank", "stable_key", "ranking_score")
+    latest = tables.ranked(spark, sf_dir).select("ranking_category", "rank", "stable_key", "ranking_score").withColumn("as_of", F.to_date(F.lit("1999-01-01")))
     inbox = scratch(spark, "rankings")
     # the same ranking delivered twice
     latest.write.mode("append").parquet(inbox)
     latest.write.mode("append").parquet(inbox)
     history = rankings.snapshot_keys(latest.filter("rank <= 50"))
     stream = jobs.file_stream(spark, inbox, latest.schema)
-    return finish(jobs.new_rankings(stream, history), spark, "ranking-history").select("snapshot_key", "ranking_category", "rank")
+    return finish(jobs.new_rankings(stream, history, "as_of"), spark, "ranking-history").select("snapshot_key", "ranking_category", "rank")
 
 
 @query(

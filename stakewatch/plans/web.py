@@ -461,14 +461,14 @@ def _merge_sql(kind: str) -> str:
     score = r(_MERGE_FORMULA["ladder"].replace("{p}", ""))
     return f"""SELECT issuer_cik||'|'||ticker||'|'||lower(any_value(company_name)) AS id, ticker, arg_max(CASE WHEN stronger THEN headline END, CASE WHEN stronger THEN section_no*1000000+rank END) AS headline, any_value(sector) AS sector,
      greatest(0e0,max(market_cap)) AS market_cap, max(conviction_score) AS conviction, max(behavior_change_score) AS behavior, max(cluster_score) AS cluster, max(purchase_value) AS value, max(buyer_count) AS buyers,
-     max({score}) AS rank_score FROM (SELECT *, coalesce(own>{held},true) AS stronger FROM (SELECT *, {own} AS own, {running} FROM section_items)) GROUP BY issuer_cik, ticker"""
+     max({score}) AS rank_score FROM (SELECT *, coalesce(own>{held},true) AS stronger FROM (SELECT *, {own} AS own, {running} FROM ranked_items)) GROUP BY issuer_cik, ticker"""
 
 
 def _merge_query(kind: str) -> None:
     def run(spark, sf_dir):
-        return activity.merge_companies(sections(spark, sf_dir), kind).drop("company_name", "multiple")
+        return activity.merge_companies(tables.ranked(spark, sf_dir), kind).drop("company_name", "multiple")
 
-    query(f"a21_company_merge_{kind}", _merge_sql(kind), ("section_items",))(run)
+    query(f"a21_company_merge_{kind}", _merge_sql(kind), ("ranked_items",))(run)
 
 
 for _kind in _MERGE_FORMULA:
@@ -489,11 +489,11 @@ def a22(spark, sf_dir):
 @query(
     "a23_consensus_totals",
     f"""SELECT sum(buyers)::BIGINT AS total_buyers, count(*) FILTER (buyers>=2) AS companies_with_multiple_buyers, count(*) FILTER (buyers>=3) AS companies_with_three_or_more, round(sum(value),2) AS total_purchased
-    FROM (SELECT issuer_cik, max(buyer_count) AS buyers, max(purchase_value) AS value FROM section_items GROUP BY 1)""",
-    ("section_items",),
+    FROM (SELECT issuer_cik, max(buyer_count) AS buyers, max(purchase_value) AS value FROM ranked_items GROUP BY 1)""",
+    ("ranked_items",),
 )
 def a23(spark, sf_dir):
-    return activity.consensus_totals(activity.merge_companies(sections(spark, sf_dir), "consensus"))
+    return activity.consensus_totals(activity.merge_companies(tables.ranked(spark, sf_dir), "consensus"))
 
 
 @query(
@@ -717,6 +717,22 @@ def r18(spark, sf_dir):
     return rankings.latest_stories(tables.signals(spark, sf_dir).withColumn("headline", F.lit("")), tables.ranked(spark, sf_dir))
 
 
+@query(
+    "r18_latest_filings_filled_up",
+    f"""SELECT id, ticker, date, value FROM (
+     SELECT event_id AS id, ticker, transaction_date AS date, purchase_value AS value, 0 AS src, row_number() OVER (ORDER BY transaction_date DESC, conviction_score, event_id DESC) AS n
+      FROM (SELECT *, row_number() OVER (PARTITION BY ticker, transaction_date, insider_id ORDER BY conviction_score, event_id) AS rn FROM sig) WHERE rn=1 AND ticker='S17'
+     UNION ALL SELECT ticker||'-'||CAST(latest_filing_date AS VARCHAR)||'-'||headline, ticker, latest_filing_date, purchase_value, 1, row_number() OVER (ORDER BY {_SECTION}, rank)
+      FROM (SELECT *, row_number() OVER (PARTITION BY ticker, latest_filing_date, headline ORDER BY {_SECTION}, rank) AS rn FROM ranked) WHERE rn=1)
+    ORDER BY src, n LIMIT 2000""",
+    ("sig", "ranked"),
+)
+def r18_filled(spark, sf_dir):
+    """One company's purchases are too few for two thousand places; the rest comes from the rankings, past their first hundreds."""
+    mine = tables.signals(spark, sf_dir).filter("ticker = 'S17'").withColumn("headline", F.lit(""))
+    return rankings.latest_stories(mine, tables.ranked(spark, sf_dir), 2000)
+
+
 # --- percentiles and variation ----------------------------------------------------------------------------------
 
 @query(

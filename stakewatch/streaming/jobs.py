@@ -1,7 +1,7 @@
 """Structured Streaming jobs for the daily increments.
 
-All of them end in the file sink, which commits each micro-batch once; what must be merged (newest price load per
-session) is merged when the table is read, so a load costs as much as its own rows, not as much as the table.
+They end in the file sink, which commits each micro-batch once, or in an upsert that gives the same table however
+often a batch is repeated.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stakewatch.operators.grouping import last_per_key
 from stakewatch.operators.rankings import snapshot_keys
+from stakewatch.operators.total_order import written
 
 
 def file_stream(spark: SparkSession, path: str, schema: object, pattern: str = "*", per_trigger: int | None = None) -> DataFrame:
@@ -39,11 +40,46 @@ def current_prices(loads: DataFrame) -> DataFrame:
     return last_per_key(loads, ["ticker", "date"], [F.col("load_no")])
 
 
-def new_rankings(stream: DataFrame, history: DataFrame) -> DataFrame:
-    """Ranking rows not in the history yet: an anti join with the stored table, then once per snapshot key."""
-    keyed = snapshot_keys(stream)
+def upsert_prices(stream: DataFrame, path: str, checkpoint: str, partition: str = "month") -> StreamingQuery:
+    """Keeps the newest load of each ticker and date in a table partitioned by month, over everything there is now.
+
+    A batch rewrites the months it brings something newer to, and no other. Rows that the table has already, in this load or a
+    later one, are left out first, so a repeated batch writes nothing."""
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        merge_prices_into(batch, path, partition)
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def merge_prices_into(batch: DataFrame, path: str, partition: str = "month") -> None:
+    spark, key = batch.sparkSession, ["ticker", "date"]
+    dated = current_prices(batch).withColumn(partition, F.date_format("date", "yyyy-MM"))
+    stored = stored_table(spark, path, dated)
+    newest = stored.select(*key, F.col("load_no").alias("_stored"))
+    fresh = dated.join(newest, key, "left").filter(F.coalesce(F.col("load_no") > F.col("_stored"), F.lit(True))).drop("_stored")
+    fresh = written(fresh, "price-batch")
+    months = fresh.select(partition).distinct()
+    merged = current_prices(stored.join(months, partition, "left_semi").unionByName(fresh))
+    merged.select(*dated.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def stored_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The table at a path, without rows where there is none yet."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        return like.limit(0)
+    return spark.read.schema(like.schema).parquet(path)
+
+
+def new_rankings(stream: DataFrame, history: DataFrame, event_time: str, delay: str = "30 days") -> DataFrame:
+    """Ranking rows not in the history yet: an anti join with the stored table, then once per snapshot key.
+
+    Keys of snapshots that arrive within the delay are kept as state; older ones are in the stored history and are let go, so
+    the state holds as many rows as the delay has, however long the history grows."""
+    keyed = snapshot_keys(stream).withColumn("event_time", F.col(event_time).cast("timestamp"))
     fresh = keyed.join(history.select("snapshot_key"), "snapshot_key", "left_anti")
-    return fresh.dropDuplicates(["snapshot_key"])
+    return fresh.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["snapshot_key"]).drop("event_time")
 
 
 def daily_activity(stream: DataFrame, event_time: str, buyer: str, value: str, delay: str = "2 days") -> DataFrame:
