@@ -73,22 +73,26 @@ def removals(rows: DataFrame, spread: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """``docs`` with the new ``text``, ``_lines`` and ``_removed`` (numbers of lines before, and taken away)."""
+    """For every row of ``docs``: ``row`` (all its columns, as they were), the new ``text``, and ``lines`` and ``removed``, the numbers of
+    lines before and taken away. As the input is one column, no name of its own can clash with those made here."""
     narrow = docs.select("doc_id", "text", F.col(site).alias("site"))
     rows = written(line_rows(narrow), "line-hashes")
-    gone = removals(rows, boilerplate(rows, min_sites)).withColumnRenamed("doc_id", "_key").withColumnRenamed("removed", "_gone")
-    joined = docs.join(gone, docs.doc_id == gone._key, "left")
-    lines = F.split("text", "\n")
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    kept = F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
-    text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)
-    return joined.withColumns({"text": text, "_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}).drop("_key", "_gone")
+    gone = removals(rows, boilerplate(rows, min_sites)).select(F.col("doc_id").alias("key"), F.col("removed").alias("gone"))
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    joined = whole.join(gone, F.col("row.doc_id") == F.col("key"), "left")
+    before = F.col("row.text")
+    lines = F.split(before, "\n")
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    # Bound to a variable, the lines are split once and not again for each place.
+    kept = F.get(F.transform(F.array(lines), lambda split: F.array_join(F.transform(places, lambda i: F.get(split, i)), "\n")), F.lit(0))
+    text = F.when(F.col("gone").isNull() | before.isNull(), before).otherwise(kept)
+    return joined.select("row", text.alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = deduplicated(docs)
-    return out.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("_lines")).alias("n_lines"), F.col("_removed").alias("n_removed"), "text")
+    return out.select("row.doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("lines")).alias("n_lines"), F.col("removed").alias("n_removed"), "text")
 
 
 ORACLE_SQL = f"""

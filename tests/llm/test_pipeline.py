@@ -12,6 +12,8 @@ import test_decontaminate  # noqa: E402
 import test_line_dedup  # noqa: E402
 import test_near_dedup  # noqa: E402
 
+from pyspark.sql import functions as F  # noqa: E402
+
 import corpus_pipeline  # noqa: E402
 from stakewatch.llm import language_id, line_dedup  # noqa: E402
 
@@ -65,3 +67,17 @@ def test_empty_documents(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_columns_that_clash_are_kept(spark, sf_dir):
+    names = ["_gone", "_key", "_lines", "_removed", "key", "site", "row", "gone", "lines", "removed", "posts", "h1", "n", "component", "kept", "found", "start", "at"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = docs.select("*", *[F.concat(F.lit(f"{name}-"), "doc_id").alias(name) for name in names])
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        plain = {row.doc_id: row.text for row in stage(spark, docs, sf_dir).collect()}
+        out = stage(spark, odd, sf_dir)
+        assert out.columns == odd.columns
+        rows = out.collect()
+        assert {row.doc_id: row.text for row in rows} == plain
+        assert all(row[name] == f"{name}-{row.doc_id}" for row in rows for name in names)
+    assert corpus_pipeline.STAGES[4][1](spark, odd, sf_dir).count() == docs.count()
