@@ -24,9 +24,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without lines that many sites share, but for their first place; documents that only had such lines go."""
     out = line_dedup.deduplicated(docs)
-    left = (F.col("_removed") == 0) | (F.length(line_dedup.trimmed(F.col("text"))) > 0)
-    changed = F.when(F.col("_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.where(left).withColumn("n_chars", changed).select(*docs.columns)
+    left = (F.col("removed") == 0) | (F.length(line_dedup.trimmed(F.col("text"))) > 0)
+    length = F.when(F.col("removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    new = {"text": F.col("text"), "n_chars": length}
+    return out.where(left).select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
