@@ -204,13 +204,18 @@ def src5_archives(spark, sf_dir):
     return indexes.archive_links(pages, "https://archive.example", 2015)
 
 
-@query("src6_archive_row_counts")
+@query(
+    "src6_archive_row_counts",
+    "SELECT o_orderstatus AS folder, count(*) AS lines FROM orders GROUP BY 1",
+)
 def src6(spark, sf_dir):
     path = scratch(spark, "archive")
     tables.raw(spark, sf_dir, "orders").select(F.col("o_orderstatus"), F.col("o_orderkey").cast("string").alias("value")).write.mode(
         "overwrite"
     ).partitionBy("o_orderstatus").text(path)
-    return indexes.archive_row_counts(spark, path)
+    # Each written file has a row less than lines; how many files a folder has is up to Spark.
+    folder = F.regexp_extract("path", r"o_orderstatus=([^/]+)/", 1)
+    return indexes.archive_row_counts(spark, path).groupBy(folder.alias("folder")).agg(F.sum(F.col("rows") + 1).alias("lines"))
 
 
 @query(
@@ -279,18 +284,31 @@ def src11(spark, sf_dir):
     return table_source.merge_prices(*_loads(spark, sf_dir)).select("ticker", "date", round_to(F.col("close"), 6).alias("close"), "load_no")
 
 
-@query("src12_strict_page_text")
+@query(
+    "src12_strict_page_text",
+    """SELECT issuer_cik, ticker, company_name, sector, CASE WHEN market_cap>=0 THEN market_cap END AS market_cap, 7 AS names FROM companies""",
+    ("companies",),
+)
 def src12(spark, sf_dir):
     odd = F.when(F.col("market_cap") < 0, F.lit(float("nan"))).otherwise(F.col("market_cap"))
-    return sinks.page_text(tables.companies(spark, sf_dir).withColumn("market_cap", odd), "issuer_cik")
+    companies = tables.companies(spark, sf_dir).withColumn("market_cap", odd).withColumn("missing", F.lit(None).cast("string"))
+    pages = sinks.page_text(companies, "issuer_cik")
+    read = F.from_json("payload", "ticker string, company_name string, sector string, market_cap double")
+    names = F.size(F.json_object_keys("payload"))
+    return pages.select("issuer_cik", read.alias("page"), names.cast("int").alias("names")).select("issuer_cik", "page.*", "names")
 
 
-@query("src13_manifest")
+@query(
+    "src13_manifest",
+    """SELECT 'issuer_cik='||issuer_cik AS folder, sha256(page||chr(10)) AS sha256, strlen(page)+1 AS bytes FROM
+     (SELECT issuer_cik, '{"ticker":"'||ticker||'","company_name":"'||company_name||'","sector":"'||sector||'"}' AS page FROM companies)""",
+    ("companies",),
+)
 def src13(spark, sf_dir):
     path = scratch(spark, "pages")
-    pages = sinks.page_text(tables.companies(spark, sf_dir), "sector")
-    sinks.write_pages(pages, path, "sector")
-    return sinks.manifest(spark, path, "*.txt").select("sha256", "bytes")
+    pages = sinks.page_text(tables.companies(spark, sf_dir).select("issuer_cik", "ticker", "company_name", "sector"), "issuer_cik")
+    sinks.write_pages(pages, path, "issuer_cik")
+    return sinks.manifest(spark, path, "*.txt").select(F.regexp_extract("path", "^([^/]+)/", 1).alias("folder"), "sha256", "bytes")
 
 
 # --- normal forms -----------------------------------------------------------------------------------------------

@@ -15,7 +15,7 @@ from stakewatch.operators.events import purchase_campaigns
 from stakewatch.operators.grouping import exact_median, first_per_key, last_per_key, rank_rows, top_per_key
 from stakewatch.operators.signals import best_per_issuer
 from stakewatch.plans import tables
-from stakewatch.plans.core import rounded, rs
+from stakewatch.plans.core import _RUN, rounded, rs
 from stakewatch.plans.normal import pick, pick_sql
 from stakewatch.plans.oracle import add_view, clip, compact, feed_money, fixed, money, r, sid, trimmed
 from stakewatch.plans.registry import query
@@ -857,14 +857,16 @@ def w14(spark, sf_dir):
     return rounded(df.select("ticker", "price_rows", "price_date", "current_price", *_STORY, "trend"), 6, "current_price", *_STORY)
 
 
-@query(
-    "w15_downsampled_path",
-    """SELECT ticker, date FROM (SELECT u.*, row_number() OVER (PARTITION BY u.ticker ORDER BY u.date)-1 AS n, count(*) OVER (PARTITION BY u.ticker) AS rows,
+add_view(
+    "story_path",
+    """SELECT ticker, date, close FROM (SELECT u.*, row_number() OVER (PARTITION BY u.ticker ORDER BY u.date)-1 AS n, count(*) OVER (PARTITION BY u.ticker) AS rows,
       EXISTS (SELECT 1 FROM pe e WHERE e.ticker=u.ticker AND e.transaction_date=u.date) OR EXISTS (SELECT 1 FROM pe e WHERE e.ticker=u.ticker AND e.transaction_date<u.date AND (e.transaction_date>u.prev OR u.prev IS NULL))
       OR EXISTS (SELECT 1 FROM pe e WHERE e.ticker=u.ticker AND e.transaction_date>u.date AND (e.transaction_date<u.next OR u.next IS NULL)) AS near
      FROM (SELECT *, lag(date) OVER (PARTITION BY ticker ORDER BY date) AS prev, lead(date) OVER (PARTITION BY ticker ORDER BY date) AS next FROM usable_prices) u) WHERE rows<=260 OR n%greatest(1,CAST(ceil(rows/260e0) AS BIGINT))=0 OR n=rows-1 OR near""",
-    ("usable_prices", "pe"),
 )
+
+
+@query("w15_downsampled_path", "SELECT ticker, date FROM story_path", ("story_path",))
 def w15(spark, sf_dir):
     sessions = price_ops.usable_sessions(tables.prices(spark, sf_dir))
     days = tables.events(spark, sf_dir).select("ticker", F.col("transaction_date").alias("day"))
@@ -900,11 +902,34 @@ def a14(spark, sf_dir):
     return rounded(rounded(df, 6, *names), 4, "average_reported_purchase_price")
 
 
-@query("e3_company_stories")
+@query(
+    "e3_company_stories",
+    f"""SELECT issuer_cik, part, CAST(place AS INTEGER) AS place, id, date, {r('value')} AS value FROM (
+     SELECT ticker, 'price_path' AS part, row_number() OVER (PARTITION BY ticker ORDER BY date) AS place, '' AS id, date, close AS value FROM story_path
+     UNION ALL SELECT ticker, 'purchase_markers', row_number() OVER (PARTITION BY ticker ORDER BY transaction_date, event_id), event_id, transaction_date, purchase_value
+       FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY transaction_date DESC, event_id DESC) AS age FROM pe WHERE ticker IN (SELECT ticker FROM usable_prices)) WHERE age<=250
+     UNION ALL SELECT ticker, 'summary', 1, trend, price_date, current_price FROM story_facts
+     UNION ALL SELECT c.ticker, 'unavailable', 1, 'missing_or_unusable_price_history', NULL, NULL FROM context c WHERE ticker NOT IN (SELECT ticker FROM story_facts)
+    ) JOIN (SELECT issuer_cik, ticker FROM context) USING (ticker)""",
+    ("story_path", "story_facts", "usable_prices", "pe", "context"),
+)
 def e3(spark, sf_dir):
+    """Stories as rows: every point, every marker, the summary, and why there is none."""
     sessions = price_ops.usable_sessions(tables.prices(spark, sf_dir))
     events = stories.with_signal_scores(tables.events(spark, sf_dir), tables.signals(spark, sf_dir))
-    return stories.company_stories(company_index(spark, sf_dir), sessions, events)
+    pages = stories.company_stories(company_index(spark, sf_dir), sessions, events)
+    pages = pages.withColumns({
+        "summary": F.when(F.col("price_available"), F.array(F.struct(F.col("summary.trend").alias("trend"), F.col("summary.price_date").alias("date"), F.col("summary.current_price").alias("price")))),
+        "unavailable": F.when(~F.col("price_available"), F.array("price_unavailable_reason")),
+    })
+    entry = lambda name: F.col(f"entry.{name}")
+    rows = dossiers.list_rows(pages, "issuer_cik", {
+        "price_path": (F.lit(""), entry("date"), entry("adjusted_close")),
+        "purchase_markers": (entry("event_id"), entry("transaction_date"), entry("purchase_value")),
+        "summary": (entry("trend"), entry("date"), entry("price")),
+        "unavailable": (F.col("entry"), F.lit(None).cast("date"), F.lit(None)),
+    })
+    return rounded(rows, 6, "value")
 
 
 # --- dossiers ---------------------------------------------------------------------------------------------------
@@ -915,9 +940,46 @@ def _dossiers(spark, sf_dir, companies: DataFrame | None = None) -> DataFrame:
     return dossiers.company_dossiers(companies, events, purchase_campaigns(events), signals, lots, best_per_issuer(signals))
 
 
-@query("e1_company_dossiers")
+def _newest_sql(part: str, source: str, key: str, day: str, ties: str, entry_id: str, value: str, most: int) -> str:
+    return f"""SELECT {key} AS page, '{part}' AS part, row_number() OVER (PARTITION BY {key} ORDER BY {day} DESC, {ties}) AS place, {entry_id} AS id, {day} AS date, {value} AS value FROM {source}
+     QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY {day} DESC, {ties})<={most}"""
+
+
+_CAMPAIGNS = f"""(SELECT *, {sid('first_event_id', 'last_event_id', 'event_count')} AS campaign_id FROM (SELECT issuer_cik, min(transaction_date) AS start_date, round(sum(purchase_value),2) AS purchase_value,
+ count(*) AS event_count, arg_min(event_id,(transaction_date,event_id)) AS first_event_id, arg_max(event_id,(transaction_date,event_id)) AS last_event_id FROM (WITH {_RUN} SELECT * FROM runs) GROUP BY issuer_cik,insider_id,ticker,run))"""
+
+
+@query(
+    "e1_company_dossiers",
+    f"""SELECT page AS issuer_cik, part, CAST(place AS INTEGER) AS place, CAST(id AS VARCHAR) AS id, date, {r('value')} AS value FROM (
+     {_newest_sql('purchase_events', 'pe', 'issuer_cik', 'transaction_date', 'event_id', 'event_id', 'purchase_value', 250)}
+     UNION ALL {_newest_sql('purchase_campaigns', _CAMPAIGNS, 'issuer_cik', 'start_date', 'campaign_id', 'campaign_id', 'purchase_value', 100)}
+     UNION ALL {_newest_sql('executive_histories', 'sig', 'issuer_cik', 'transaction_date', 'event_id', 'event_id', 'prior_purchase_count', 250)}
+     UNION ALL {_newest_sql('event_signals', 'sig', 'issuer_cik', 'transaction_date', 'event_id', 'event_id', 'conviction_score', 250)}
+     UNION ALL {_newest_sql('qualifying_transactions', '(SELECT * FROM lots WHERE is_qualifying_purchase)', 'issuer_cik', 'transaction_date', 'accession_number, line_no, shares, price_per_share', "accession_number||'-'||line_no", 'shares', 500)}
+     UNION ALL {_newest_sql('latest', 'sig', 'issuer_cik', 'transaction_date', 'event_id', 'event_id', 'conviction_score', 1)}
+     UNION ALL SELECT issuer_cik, 'current', 1, arg_max(event_id,(conviction_score,event_id)), arg_max(transaction_date,(conviction_score,event_id)), max(conviction_score) FROM sig GROUP BY 1
+     UNION ALL SELECT issuer_cik, 'totals', 1, count(DISTINCT insider_id), NULL, round(sum(purchase_value),2) FROM pe GROUP BY 1)""",
+    ("pe", "sig", "lots"),
+)
 def e1(spark, sf_dir):
-    return _dossiers(spark, sf_dir)
+    """Dossiers as rows: every entry of the lists, the latest and the current signal, buyers and value in all."""
+    one = lambda c: F.when(c.isNotNull(), F.array(c))
+    totals = F.struct(F.col("buyers").alias("buyers"), F.col("stats.total_purchase_value").alias("value"))
+    pages = _dossiers(spark, sf_dir).withColumns({
+        "latest": one(F.col("latest_event_signal")), "current": one(F.col("current_signal")), "totals": F.when(F.col("stats").isNotNull(), F.array(totals)),
+    })
+    entry = lambda name: F.col(f"entry.{name}")
+    signal = (entry("event_id"), entry("transaction_date"), entry("conviction_score"))
+    rows = dossiers.list_rows(pages, "issuer_cik", {
+        "purchase_events": (entry("event_id"), entry("transaction_date"), entry("purchase_value")),
+        "purchase_campaigns": (entry("campaign_id"), entry("start_date"), entry("purchase_value")),
+        "executive_histories": (entry("event_id"), entry("transaction_date"), entry("prior_purchase_count")),
+        "event_signals": signal,
+        "qualifying_transactions": (F.concat_ws("-", entry("accession_number"), entry("line_no")), entry("transaction_date"), entry("shares")),
+        "latest": signal, "current": signal, "totals": (entry("buyers"), F.lit(None).cast("date"), entry("value")),
+    })
+    return rounded(rows, 6, "value")
 
 
 @query(
@@ -976,9 +1038,29 @@ def j14_people(spark, sf_dir):
     return people(spark, sf_dir).join(there, "insider_id", "left_semi").select("insider_id")
 
 
-@query("e2_person_dossiers")
+@query(
+    "e2_person_dossiers",
+    f"""SELECT page AS insider_id, part, CAST(place AS INTEGER) AS place, CAST(id AS VARCHAR) AS id, date, {r('value')} AS value FROM (
+     {_newest_sql('purchase_events', 'sig', 'insider_id', 'transaction_date', 'event_id', 'event_id', 'purchase_value', 500)}
+     UNION ALL {_newest_sql('histories', 'sig', 'insider_id', 'transaction_date', 'event_id', 'event_id', 'prior_purchase_count', 500)}
+     UNION ALL {_newest_sql('signals', 'sig', 'insider_id', 'transaction_date', 'event_id', 'event_id', 'conviction_score', 500)}
+     UNION ALL SELECT insider_id, 'profile', 1, count(*), NULL, max(conviction_score) FROM sig GROUP BY 1
+     UNION ALL SELECT insider_id, 'related', 1, '', NULL, count(DISTINCT issuer_cik) FROM sig GROUP BY 1)""",
+    ("sig",),
+)
 def e2(spark, sf_dir):
-    return dossiers.person_dossiers(people(spark, sf_dir), tables.events(spark, sf_dir), tables.signals(spark, sf_dir), tables.companies(spark, sf_dir))
+    """Dossiers as rows: every entry of the lists, purchases and highest conviction, number of companies."""
+    pages = dossiers.person_dossiers(people(spark, sf_dir), tables.events(spark, sf_dir), tables.signals(spark, sf_dir), tables.companies(spark, sf_dir))
+    pages = pages.withColumns({"profile": F.when(F.col("behavior_profile").isNotNull(), F.array("behavior_profile")), "related": F.when(F.col("companies").isNotNull(), F.array("companies"))})
+    entry = lambda name: F.col(f"entry.{name}")
+    none = F.lit(None).cast("date")
+    rows = dossiers.list_rows(pages, "insider_id", {
+        "purchase_events": (entry("event_id"), entry("transaction_date"), entry("purchase_value")),
+        "histories": (entry("event_id"), entry("transaction_date"), entry("prior_purchase_count")),
+        "signals": (entry("event_id"), entry("transaction_date"), entry("conviction_score")),
+        "profile": (entry("purchase_count"), none, entry("highest_conviction")), "related": (F.lit(""), none, F.col("entry")),
+    })
+    return rounded(rows, 6, "value")
 
 
 @query(
@@ -1008,14 +1090,24 @@ def e5_people(spark, sf_dir):
     )
 
 
-@query("e6_discovery_sections")
-def e6(spark, sf_dir):
-    return rankings.section_lists(tables.ranked(spark, sf_dir), 100)
+def _section_query(name: str, size: int) -> None:
+    def run(spark, sf_dir):
+        """Section lists as rows."""
+        lists = rankings.section_lists(tables.ranked(spark, sf_dir), size)
+        rows = lists.select("ranking_category", "count", F.posexplode("items").alias("_at", "item"))
+        return rows.select("ranking_category", "count", (F.col("_at") + 1).alias("place"), *[F.col(f"item.{c}").alias(c) for c in ("ticker", "headline", "conviction_score", "transaction_date", "buyer_count")],
+                           F.array_join("item.source_accession_numbers", ",").alias("accessions"))
+
+    query(
+        name,
+        f"""SELECT ranking_category, count, rank AS place, nullif(ticker,'') AS ticker, headline, conviction_score, latest_transaction_date AS transaction_date, buyer_count, source_accession_numbers AS accessions
+        FROM ranked JOIN (SELECT ranking_category, count(*) AS count FROM ranked GROUP BY 1) USING (ranking_category) WHERE rank<={size}""",
+        ("ranked",),
+    )(run)
 
 
-@query("e6_featured_sections")
-def e6_featured(spark, sf_dir):
-    return rankings.section_lists(tables.ranked(spark, sf_dir), 8)
+_section_query("e6_discovery_sections", 100)
+_section_query("e6_featured_sections", 8)
 
 
 @query(
@@ -1040,11 +1132,21 @@ def e8(spark, sf_dir):
     return mine.withColumn("share_of_maximum", round_to(F.col("purchase_value") / largest, 6)).drop("purchase_value").orderBy(F.desc("transaction_date"), "event_id")
 
 
-@query("e9_page_envelope")
+@query(
+    "e9_page_envelope",
+    f"""SELECT 'v1' AS schema_version, '2026-01-01T00:00:00Z' AS generated_at_utc, (SELECT max(transaction_date) FROM sig) AS as_of_date, 'Purchases are research evidence, not a recommendation.' AS limitations,
+     (SELECT 'prices='||max(date) FROM prices)||','||(SELECT 'purchase_events='||max(transaction_date) FROM pe) AS freshness,
+     {_SECTOR_FIGURES}, {r("count(DISTINCT issuer_cik)*1e0/greatest(1,(SELECT count(*) FROM context WHERE discovery_eligible))")} AS eligible_universe_share
+    FROM (SELECT s.* EXCLUDE (sector), c.sector FROM sig s LEFT JOIN context c USING (issuer_cik)) GROUP BY sector""",
+    ("sig", "context", "prices", "pe"),
+)
 def e9(spark, sf_dir):
     newest = tables.signals(spark, sf_dir).agg(F.max("transaction_date")).scalar()
+    fresh = dossiers.freshness_map(activity.newest_of(("prices", tables.prices(spark, sf_dir), "date"), ("purchase_events", tables.events(spark, sf_dir), "transaction_date")))
     payload = activity.sector_payload(tables.signals(spark, sf_dir), tables.company_context(spark, sf_dir))
-    return dossiers.envelope(payload, "2026-01-01T00:00:00Z", newest, ["Purchases are research evidence, not a recommendation."])
+    page = dossiers.envelope(payload, "2026-01-01T00:00:00Z", newest, fresh, ["Purchases are research evidence, not a recommendation."])
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("freshness")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return page.withColumns({"freshness": shown, "limitations": F.array_join("limitations", ",")})
 
 
 # --- charts and sentences ---------------------------------------------------------------------------------------

@@ -57,6 +57,6 @@ def archive_links(pages: DataFrame, base: str, start_year: int, pattern: str = A
 def archive_row_counts(spark: SparkSession, path: str) -> DataFrame:
     """Data rows per text file of an extracted archive: its lines less the heading, never below zero."""
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path)
-    return lines.groupBy(F.col("_metadata.file_name").alias("file")).agg(
+    return lines.groupBy(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path")).agg(
         F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).alias("rows")
     )
