@@ -425,3 +425,48 @@ def newest_of(*tables: tuple[str, DataFrame, str]) -> DataFrame:
         one = df.agg(F.lit(name).alias("artifact"), F.count(F.lit(1)).alias("rows"), F.max(parse_date(F.col(day))).alias("newest"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def overview(lots: DataFrame, events: DataFrame, signals: DataFrame, companies: DataFrame, exceptional: float = 85.0) -> DataFrame:
+    """Counts and market pulse of the first page, one row; one aggregate for each table."""
+    def of(df: DataFrame, value: Column) -> Column:
+        return df.agg(value).scalar()
+
+    return signals.agg(
+        of(lots, F.count(F.lit(1))).alias("normalized_transactions"), of(lots, F.count_if("is_qualifying_purchase")).alias("qualifying_purchases"),
+        of(events, F.count(F.lit(1))).alias("purchase_events"), F.count(F.lit(1)).alias("event_signals"),
+        F.countDistinct("issuer_cik").alias("company_signals"),
+        of(companies, F.count(F.lit(1))).alias("companies"), of(companies, F.count_if("discovery_eligible")).alias("eligible_companies"),
+        F.count_if(F.col("conviction_score") >= exceptional).alias("exceptional_signals"), F.count_if(F.col("cluster_score") > 0).alias("cluster_signals"),
+        F.median("behavior_change_score").alias("median_behavior_change"), F.median("conviction_score").alias("median_conviction"),
+        of(events, F.round(F.sum("purchase_value"), 2)).alias("total_reported_purchase_value"), F.countDistinct("issuer_cik").alias("active_company_count"),
+    )
+
+
+def quality_summary_of(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Records by table and quality (lower case, ``unknown`` where there is none)."""
+    out = None
+    for name, (df, column) in tables.items():
+        quality = F.coalesce(F.nullif(F.lower(F.trim(F.col(column))), F.lit("")), F.lit("unknown"))
+        one = df.groupBy(quality.alias("quality")).agg(F.count(F.lit(1)).alias("records")).select(F.lit(name).alias("artifact"), "quality", "records")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def stage_status(tables: dict[str, DataFrame]) -> DataFrame:
+    """Files, bytes, rows and last writing of every stage table, from what the file system knows and, for the rows, from the
+    files' footers: no column is read."""
+    out = None
+    for name, df in tables.items():
+        by_file = df.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+        one = by_file.agg(
+            F.lit(name).alias("artifact"), F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.max("at").alias("written_at")
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def outstanding_warnings(checked: DataFrame) -> DataFrame:
+    """Rows with a warning by table (``artifact_name``, ``warnings``); texts that say none do not count."""
+    said = ~F.lower(F.trim(F.coalesce(F.col("warnings").cast("string"), F.lit("")))).isin("", "nan", "none", "[]")
+    return checked.groupBy("artifact_name").agg(F.count_if(said).alias("outstanding_warnings"))

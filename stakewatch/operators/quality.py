@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from stakewatch import params
 from stakewatch.functions.dates import parse_date
@@ -211,6 +211,26 @@ def check_weights(weights: DataFrame) -> DataFrame:
 
 
 def check_thresholds(thresholds: DataFrame) -> DataFrame:
-    """Thresholds: none negative, and each low bound below its high one. Columns: name, low, high."""
-    good = (F.col("low") >= 0) & (F.col("high") >= 0) & (F.col("low") < F.col("high"))
+    """Thresholds: none negative, and each low bound below its high one; a missing bound is no bound. Columns: name, low, high."""
+    known = F.coalesce(F.col("low") >= 0, F.lit(True)) & F.coalesce(F.col("high") >= 0, F.lit(True))
+    good = known & F.coalesce(F.col("low") < F.col("high"), F.lit(True))
     return thresholds.select("name", good.alias("valid"))
+
+
+def own_weights(spark: SparkSession) -> DataFrame:
+    """The project's own weight groups as a table (``weight_group``, ``name``, ``weight``)."""
+    groups = {"behavior": params.BEHAVIOR_WEIGHTS, "conviction": params.CONVICTION_WEIGHTS, "evidence": params.EVIDENCE_WEIGHTS}
+    rows = [(group, name, float(weight)) for group, weights in groups.items() for name, weight in weights.items()]
+    return spark.createDataFrame(rows, "weight_group string, name string, weight double")
+
+
+def own_thresholds(spark: SparkSession) -> DataFrame:
+    """The project's own limits as a table (``name``, ``low``, ``high``): eligibility, penalties, role values, and windows, which
+    must grow from one to the next."""
+    limits = params.ELIGIBILITY
+    rows = [("market_cap", limits["market_cap_min"], limits["market_cap_max"]), ("price", limits["price_min"], None), ("dollar_volume", limits["dollar_volume_min"], None)]
+    rows += [(f"penalty {name}", float(value), None) for name, value in params.PENALTIES.items()]
+    rows += [(f"role {name}", float(value), None) for name, value in params.ROLE_QUALITY.items()]
+    for name, windows in (("velocity", params.VELOCITY_DAYS), ("forward", params.FORWARD_SESSIONS), ("prior", params.PRIOR_SESSIONS)):
+        rows += [(f"{name} {low}", float(low), float(high)) for low, high in zip(windows, windows[1:])]
+    return spark.createDataFrame(rows, "name string, low double, high double")

@@ -10,6 +10,7 @@ from stakewatch.functions.numeric import clamp, fixed_text, round_to
 from stakewatch.functions.roles import role_label
 from stakewatch.functions.text import tokens
 from stakewatch.operators.grouping import first_per_key, rank_rows, top_per_key
+from stakewatch.operators.total_order import numbered
 
 
 def number(name: str, default: float = 0.0) -> Column:
@@ -183,9 +184,23 @@ def ranking_cards(ranked: DataFrame) -> DataFrame:
     )
 
 
+def normalized_rows(ranked: DataFrame, category: str) -> DataFrame:
+    """Rows of one ranking with ``rank``, ``ranking_category`` and ``category``: where a table has no ranks its rows are numbered by
+    conviction (or ``score``), ticker and company number, where it names no category it gets the given one."""
+    names = set(ranked.columns)
+    out = ranked if "ranking_category" in names else ranked.withColumn("ranking_category", F.lit(category))
+    out = out if "category" in names else out.withColumn("category", F.col("ranking_category"))
+    if "rank" in names:
+        return out
+    score = number("conviction_score" if "conviction_score" in names else "score") if names & {"conviction_score", "score"} else F.lit(0.0)
+    ties = [F.asc(c) for c in ("ticker", "issuer_cik") if c in names]
+    rest = [F.asc(F.xxhash64(*[c for c in ranked.columns]))]
+    return numbered(out, ["ranking_category"], [score.desc_nulls_last(), *ties, *rest])
+
+
 def normalized_order(ranked: DataFrame) -> DataFrame:
     """Rows in page order: rank, then conviction, ticker and company number."""
-    return ranked.orderBy(F.coalesce(F.col("rank"), F.lit(10**9)), F.desc("conviction_score"), "ticker", "issuer_cik")
+    return ranked.orderBy(F.coalesce(F.col("rank").cast("double"), F.lit(1e9)), F.desc("conviction_score"), "ticker", "issuer_cik")
 
 
 def sections(ranked: DataFrame, size: int) -> DataFrame:

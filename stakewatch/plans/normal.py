@@ -12,7 +12,7 @@ from stakewatch.functions import dates, identity, numeric, text
 from stakewatch.functions.numeric import round_to
 from stakewatch.functions.roles import roles_from_title
 from stakewatch.functions.text import joined
-from stakewatch.operators import normalize, quality
+from stakewatch.operators import activity, normalize, quality
 from stakewatch.operators.events import purchase_events
 from stakewatch.plans import tables
 from stakewatch.plans.oracle import TITLE_SQL, compact, feed_money, fixed, money, r, roles_sql, sid, trimmed
@@ -116,6 +116,48 @@ def src1_lots(spark, sf_dir):
     ).agg(F.count(F.lit(1)).alias("lots"), F.sum("reported_value").alias("reported_value"))
 
 
+def _option_document(lines: DataFrame) -> DataFrame:
+    """Ownership documents with a derivative lot per line, two owners, and elements that no table asks for."""
+    def wrapped(tag: str, value: Column, inside: str = "") -> Column:
+        return F.concat(F.lit(f"<{tag}><value>"), value.cast("string"), F.lit(f"</value>{inside}</{tag}>"))
+
+    number = F.col("l_linenumber")
+    lot = F.concat(
+        F.lit("<derivativeTransaction>"), wrapped("securityTitle", F.lit("007 Call")), wrapped("conversionOrExercisePrice", F.col("l_quantity"), '<footnoteId id="F3"/>'),
+        wrapped("transactionDate", F.col("l_shipdate").cast("date")), wrapped("deemedExecutionDate", F.date_add("l_shipdate", 1)),
+        F.lit("<transactionCoding><transactionFormType>4</transactionFormType><transactionCode>M</transactionCode><equitySwapInvolved>"), (number % 2).cast("string"), F.lit("</equitySwapInvolved></transactionCoding>"),
+        wrapped("exerciseDate", F.date_add("l_shipdate", 30)), wrapped("expirationDate", F.lit("2010-01-01")),
+        F.lit("<underlyingSecurity>"), wrapped("underlyingSecurityTitle", F.lit("Common")), wrapped("underlyingSecurityShares", F.col("l_partkey")), F.lit("</underlyingSecurity>"),
+        F.when(number % 3 == 0, F.lit('<unknown><deep><footnoteId id="F9"/><footnoteId id="F1"/></deep></unknown>')).otherwise(""), F.lit("</derivativeTransaction>"),
+    )
+    owners = "".join(
+        f"<reportingOwner><reportingOwnerId><rptOwnerCik>{n}</rptOwnerCik></reportingOwnerId><reportingOwnerRelationship><isOther>{n - 1}</isOther><otherText>{text}</otherText></reportingOwnerRelationship></reportingOwner>"
+        for n, text in ((1, ""), (2, "Trustee"))
+    )
+    head = F.lit(f"<ownershipDocument><documentType>4/A</documentType><remarks>Corrects line 1.</remarks>{owners}<derivativeTable>")
+    return lines.select(
+        F.concat(head, lot, F.lit("</derivativeTable></ownershipDocument>")).alias("xml"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("accession_number"),
+        F.col("l_shipdate").cast("date").cast("string").alias("filing_date"), F.lit("x").alias("path"), F.concat(F.col("l_shipdate").cast("date").cast("string"), F.lit("T16:30:00")).alias("accepted_at"),
+    )
+
+
+@query(
+    "src1_derivative_terms",
+    """SELECT l_orderkey||'-'||l_linenumber||'-'||l_partkey AS accession_number, CAST(CAST(l_shipdate AS DATE) AS VARCHAR)||'T16:30:00' AS accepted_at, 'Corrects line 1.' AS amendment_description, 'false|true' AS others, '|Trustee' AS other_texts,
+     '007 Call' AS security_title, '4' AS transaction_form_type, l_linenumber%2=1 AS equity_swap_involved, CAST(CAST(l_shipdate AS DATE)+1 AS VARCHAR) AS deemed_execution_date, l_quantity*1e0 AS conversion_price,
+     CAST(CAST(l_shipdate AS DATE)+30 AS VARCHAR) AS exercise_date, '2010-01-01' AS expiration_date, 'Common' AS underlying_security_title, l_partkey*1e0 AS underlying_shares, CASE WHEN l_linenumber%3=0 THEN 'F1|F3|F9' ELSE 'F3' END AS footnote_refs FROM lineitem""",
+)
+def src1_terms(spark, sf_dir):
+    parsed = filing_source.parse_documents(_option_document(tables.raw(spark, sf_dir, "lineitem")))
+    rows = parsed.select("accession_number", "accepted_at", "amendment_description", "owners", F.explode("lots").alias("lot"))
+    return rows.select(
+        "accession_number", "accepted_at", "amendment_description", F.array_join(F.transform("owners", lambda o: o["is_other"].cast("string")), "|").alias("others"),
+        F.array_join(F.transform("owners", lambda o: F.coalesce(o["other_text"], F.lit(""))), "|").alias("other_texts"),
+        *[F.col(f"lot.{c}").alias(c) for c in ("security_title", "transaction_form_type", "equity_swap_involved", "deemed_execution_date", "conversion_price", "exercise_date", "expiration_date", "underlying_security_title", "underlying_shares")],
+        F.array_join("lot.footnote_refs", "|").alias("footnote_refs"),
+    )
+
+
 @query(
     "src2_block_extraction",
     """SELECT page_id, coalesce(
@@ -663,6 +705,28 @@ def v6(spark, sf_dir):
     )
 
 
+@query(
+    "a24_outstanding_warnings",
+    f"""SELECT artifact_name, sum(CASE WHEN warnings<>'' THEN 1 ELSE 0 END)::BIGINT AS outstanding_warnings FROM ({_TX_CHECK}) GROUP BY 1""",
+    ("lots",),
+)
+def a24_warnings(spark, sf_dir):
+    return activity.outstanding_warnings(quality.check_transactions(_transactions_to_check(spark, sf_dir)))
+
+
+@query(
+    "v8_thresholds",
+    """SELECT 'nation '||s_nationkey AS name, coalesce(min(CASE WHEN s_acctbal>0 THEN s_acctbal END)>=0,true) AND coalesce(max(s_acctbal)>=0,true) AND coalesce(min(CASE WHEN s_acctbal>0 THEN s_acctbal END)<max(s_acctbal),true) AS valid FROM supplier GROUP BY s_nationkey
+    UNION ALL SELECT 'supplier '||s_suppkey, s_acctbal>=0 FROM supplier""",
+)
+def v8_thresholds(spark, sf_dir):
+    """Balances as limits: their range by nation, and each alone, with no upper limit."""
+    supplier, balance = tables.raw(spark, sf_dir, "supplier"), F.col("s_acctbal")
+    ranges = supplier.groupBy(F.concat(F.lit("nation "), "s_nationkey").alias("name")).agg(F.min(F.when(balance > 0, balance)).alias("low"), F.max(balance).alias("high"))
+    single = supplier.select(F.concat(F.lit("supplier "), "s_suppkey").alias("name"), balance.alias("low"), F.lit(None).cast("double").alias("high"))
+    return quality.check_thresholds(ranges.unionByName(single))
+
+
 @query(
     "v7_contract_check",
     """SELECT unnest(['missing_event_id','missing_issuer_cik','missing_transaction_date','missing_purchase_value','unknown_quality','bad_schema_version']) AS rule,

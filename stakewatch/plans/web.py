@@ -123,6 +123,42 @@ def a9(spark, sf_dir):
     )
 
 
+@query(
+    "a9_overview",
+    f"""SELECT (SELECT count(*) FROM lots) AS normalized_transactions, (SELECT count(*) FROM lots WHERE is_qualifying_purchase) AS qualifying_purchases, (SELECT count(*) FROM pe) AS purchase_events,
+     count(*) AS event_signals, count(DISTINCT issuer_cik) AS company_signals, (SELECT count(*) FROM context) AS companies, (SELECT count(*) FROM context WHERE discovery_eligible) AS eligible_companies,
+     sum(CASE WHEN conviction_score>=85 THEN 1 ELSE 0 END)::BIGINT AS exceptional_signals, sum(CASE WHEN cluster_score>0 THEN 1 ELSE 0 END)::BIGINT AS cluster_signals,
+     median(behavior_change_score) AS median_behavior_change, median(conviction_score) AS median_conviction, (SELECT round(sum(purchase_value),2) FROM pe) AS total_reported_purchase_value, count(DISTINCT issuer_cik) AS active_company_count FROM sig""",
+    ("sig", "lots", "pe", "context"),
+)
+def a9_overview(spark, sf_dir):
+    return activity.overview(tables.lots(spark, sf_dir), tables.events(spark, sf_dir), tables.signals(spark, sf_dir), tables.company_context(spark, sf_dir))
+
+
+@query(
+    "a9_featured_discoveries",
+    "SELECT rank, nullif(ticker,'') AS ticker, headline, conviction_score, purchase_value FROM ranked WHERE ranking_category='under_the_radar' AND rank<=12",
+    ("ranked",),
+)
+def a9_featured(spark, sf_dir):
+    """Cards of the first page: the first twelve of one category."""
+    mine = rankings.sections(tables.ranked(spark, sf_dir).filter("ranking_category = 'under_the_radar'"), 12)
+    return rankings.ranking_cards(mine).select("rank", "ticker", "headline", "conviction_score", "purchase_value")
+
+
+@query(
+    "a9_quality_summary",
+    """SELECT 'transactions' AS artifact, quality, count(*) AS records FROM lots GROUP BY 2 UNION ALL SELECT 'purchase_events', event_quality, count(*) FROM pe GROUP BY 2
+     UNION ALL SELECT 'event_signals', history_quality, count(*) FROM sig GROUP BY 2 UNION ALL SELECT 'companies', 'unknown', count(*) FROM context""",
+    ("lots", "pe", "sig", "context"),
+)
+def a9_quality(spark, sf_dir):
+    return activity.quality_summary_of({
+        "transactions": (tables.lots(spark, sf_dir).withColumn("quality", F.upper("quality")), "quality"), "purchase_events": (tables.events(spark, sf_dir), "event_quality"),
+        "event_signals": (tables.signals(spark, sf_dir), "history_quality"), "companies": (tables.company_context(spark, sf_dir).withColumn("quality", F.lit(" ")), "quality"),
+    })
+
+
 @query(
     "a10_quality_counts",
     "SELECT quality, count(*) AS records FROM (SELECT quality FROM lots UNION ALL SELECT event_quality FROM pe UNION ALL SELECT history_quality FROM hist) GROUP BY 1",
@@ -507,6 +543,17 @@ def a24(spark, sf_dir):
     )
 
 
+@query(
+    "a24_stage_status",
+    """SELECT 'lots' AS artifact, count(*) AS rows, true AS there FROM lots UNION ALL SELECT 'purchase_events', count(*), true FROM pe UNION ALL SELECT 'signals', count(*), true FROM sig UNION ALL SELECT 'ranked', count(*), true FROM ranked""",
+    ("lots", "pe", "sig", "ranked"),
+)
+def a24_status(spark, sf_dir):
+    stages = {"lots": tables.lots, "purchase_events": tables.events, "signals": tables.signals, "ranked": tables.ranked}
+    status = activity.stage_status({name: table(spark, sf_dir) for name, table in stages.items()})
+    return status.select("artifact", "rows", ((F.col("files") > 0) & (F.col("bytes") > 0) & F.col("written_at").isNotNull()).alias("there"))
+
+
 @query("a25_latest_of_mixed_dates", "SELECT o_orderstatus, max(CASE WHEN o_orderkey%3<2 THEN CAST(o_orderdate AS DATE) END) AS newest FROM orders GROUP BY 1")
 def a25(spark, sf_dir):
     day = F.col("o_orderdate").cast("date")
@@ -547,6 +594,17 @@ def r12(spark, sf_dir):
     return rankings.normalized_order(tables.ranked(spark, sf_dir)).select("rank", "ranking_category", "ticker", "issuer_cik", "conviction_score")
 
 
+@query(
+    "r12_added_rank_and_category",
+    "SELECT CAST(row_number() OVER (ORDER BY conviction_score DESC, ticker, issuer_cik) AS INTEGER) AS rank, 'event_signals' AS category, 'event_signals' AS ranking_category, ticker, issuer_cik, conviction_score FROM sig",
+    ("sig",),
+)
+def r12_added(spark, sf_dir):
+    """The signals as a ranking: they have neither ranks nor a category of their own."""
+    rows = tables.signals(spark, sf_dir).select("ticker", "issuer_cik", "conviction_score", "event_id")
+    return rankings.normalized_rows(rows, "event_signals").drop("event_id")
+
+
 @query(
     "r13_top_sections",
     "SELECT ranking_category, rank, ticker, event_id, CASE WHEN rank<=8 THEN 'featured' ELSE 'section' END AS place FROM ranked WHERE rank<=100",
