@@ -2,7 +2,8 @@
 
 Templates are cut into words; every ``GRAM`` words in a row have a hash, and of each ``WINNOW`` neighbouring hashes the
 smallest is kept as a fingerprint. An inverted index of these leads from the fingerprints of a text to templates and to the
-diagonal (place in the text minus place in the template) on which they lie. Fingerprints that ascend in both are chained;
+diagonal (place in the text minus place in the template) on which they lie. Only fingerprints that are rare in their template
+lead there. Those that ascend in both are chained, whatever number of words or of other fingerprints lies between them;
 chains with enough of them for the template's size are candidates; along them banded alignments of the two word sequences,
 one match point a word, tell which words of the template are there and where they begin and end in the text. The words that
 tell variants apart (numbers, ``VARIANTS``) must be there, and matches of all templates that overlap compete: the one wins
@@ -11,7 +12,8 @@ with the most matched words less the unmatched ones of text and template.
 The index is made of the given templates, at most ``MAX_TEMPLATE_WORDS`` words in all, so every task can hold it.
 
 Defined results: null and empty texts have no matches; of matches that overlap one stays (of equals the earlier, then the
-first by name); very long texts are read whole, in time linear in their words for each candidate's surroundings;
+first by name); very long texts are read whole; a template is looked at where enough of its places are seen, and then takes a pass over its
+words for each fingerprint of the text;
 repeated rows repeat their matches; an empty table or no templates give no rows; other columns are not read.
 """
 
@@ -110,8 +112,9 @@ TEMPLATES |= {path.stem: path.read_text(encoding="utf-8") for path in sorted((Pa
 #: inside its match; a longer one bears no other's among the first ``TITLE_WORDS`` of its match.
 VARIANTS = frozenset("nc nd sa noncommercial noderivatives noderivs sharealike affero lesser library".split())
 SHORT, TITLE_WORDS = 120, 20
-#: Earlier fingerprints that one may follow in a chain.
-LOOK_BACK = 64
+#: Places of a template that a fingerprint may stand at to be a seed (a template that has none so rare takes its rarest), and
+#: how many times the template's length may lie between two neighbours in a chain.
+RARE, GAP = 4, 4
 
 
 class Words:
@@ -174,18 +177,37 @@ def chains(seeds: list[tuple[int, int]], size: int) -> list[list[tuple[int, int]
     """Runs of fingerprints (place in the text, place in the template) that ascend in both, the best first.
 
     A change of the diagonal costs by its size, so that an insertion or numbered lines are crossed and another occurrence
-    of the template is not."""
+    of the template is not. For each place of the template the best and the latest run that end there are kept, and a
+    fingerprint follows the best of all those at earlier places: however many words are put in between, what came before
+    is not forgotten, and a fingerprint costs one pass over the template's places."""
     points = np.array(sorted(seeds), np.int64)
     score, before = np.full(len(points), float(GRAM)), np.full(len(points), -1)
-    for i in range(1, len(points)):
-        low = max(0, i - LOOK_BACK)
-        step = points[i] - points[low:i]
-        jump = np.abs(step[:, 0] - step[:, 1])
-        value = score[low:i] + np.minimum(step.min(axis=1), GRAM) - 0.5 * np.log2(1 + jump) - 0.01 * jump
-        value[(step.min(axis=1) <= 0) | (step[:, 0] > size + BAND)] = -1
-        best = int(value.argmax())
-        if value[best] > score[i]:
-            score[i], before[i] = value[best], low + best
+    reach = GAP * size + BAND
+    jumps = np.arange(reach + size + 2, dtype=float)
+    cost = 0.5 * np.log2(1 + jumps) + 0.01 * jumps
+    # Best and latest run by the template's place: score, place in the text, number of its last fingerprint.
+    held, at, last = np.full((2, size), -np.inf), np.zeros((2, size), np.int64), np.full((2, size), -1)
+    places = np.arange(size)
+    first = 0
+    while first < len(points):
+        text = int(points[first, 0])
+        end = int(np.searchsorted(points[:, 0], text, "right"))
+        for i in range(first, end):
+            own = int(points[i, 1])
+            if not own:
+                continue
+            here, there = text - at[:, :own], own - places[:own]
+            value = held[:, :own] + np.minimum(np.minimum(here, there), GRAM) - cost[np.minimum(np.abs(here - there), len(cost) - 1)]
+            value[here > reach] = -np.inf
+            best = int(value.argmax())
+            if value.flat[best] > score[i]:
+                score[i], before[i] = value.flat[best], last[:, :own].flat[best]
+        for i in range(first, end):
+            own = int(points[i, 1])
+            for slot in (0, 1):
+                if slot or score[i] >= held[0, own] or text - at[0, own] > reach:
+                    held[slot, own], at[slot, own], last[slot, own] = score[i], text, i
+        first = end
     used = np.zeros(len(points), bool)
     out = []
     for i in np.argsort(-score, kind="stable").tolist():
@@ -235,8 +257,10 @@ class Index:
             telling = sorted({word for word in plain if word in VARIANTS or word.isdigit()}) if len(words) <= SHORT else []
             self.needed.append(self.words.of(pa.array([" ".join(telling)]))[0])
             self.templates.append(words)
-            self.expected.append(len(places))
-            for place, value in zip(places.tolist(), hashes.tolist(), strict=True):
+            _, back, often = np.unique(hashes, return_inverse=True, return_counts=True)
+            rare = often[back] <= max(RARE, int(often.min(initial=RARE)))
+            self.expected.append(int(rare.sum()))
+            for place, value in zip(places[rare].tolist(), hashes[rare].tolist(), strict=True):
                 by_hash[value].append((i, place))
         self.by_hash = dict(by_hash)
         self.hashes = np.array(sorted(by_hash), np.uint64)
@@ -255,7 +279,8 @@ class Index:
         found = []
         for template, seeds in votes.items():
             whole = self.templates[template]
-            if len(seeds) < max(1, self.expected[template] * COVERAGE / 4) or not np.isin(self.needed[template], words).all():
+            # A chain takes each place of the template once.
+            if len({own for _, own in seeds}) < max(1, self.expected[template] * COVERAGE / 4) or not np.isin(self.needed[template], words).all():
                 continue
             for chain in chains(seeds, len(whole)):
                 if len(chain) < max(1, self.expected[template] * COVERAGE / 4):

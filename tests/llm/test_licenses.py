@@ -2,10 +2,13 @@
 
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from stakewatch.llm.licenses import BAND, TEMPLATES, aligned, license_matches, op5_license_scan
+from stakewatch.llm.licenses import BAND, TEMPLATES, Index, aligned, license_matches, op5_license_scan
 
 
 def longest_in_band(text, template, shift):
@@ -80,3 +83,25 @@ def test_insertions_and_line_numbers(spark):
     lines = TEMPLATES["gpl-2.0"].splitlines()
     numbered = "\n".join(f"{i} {line}" for i, line in enumerate(lines, 1000))
     assert found(spark, [inserted, numbered, TEMPLATES["mit"] + " x " * 40 + TEMPLATES["mit"]]) == [["mit"], ["gpl-2.0"], ["mit", "mit"]]
+
+
+@pytest.mark.parametrize("name, phrase", [("gpl-3.0", "of the GNU General Public License"), ("mit", "copies of the Software"), ("apache-2.0", "the terms and conditions of this License")])
+def test_a_phrase_of_its_own_put_in_many_times(name, phrase):
+    index = Index(TEMPLATES)
+    plain = TEMPLATES[name].split(" ")
+    for times in (1, 2, 50):
+        words = list(plain)
+        for place in (3, 2, 1):
+            words[place * len(plain) // 4 : place * len(plain) // 4] = (phrase + " ").split(" ")[:-1] * times
+        found = index.matches(index.words.of(pa.array([" ".join(words)]))[0])
+        best = {index.names[template]: coverage for template, _, _, coverage in found}
+        assert best.get(name, 0) > 0.95, (times, best)
+
+
+def test_repeated_words_are_cheap():
+    index = Index(TEMPLATES)
+    for phrase in ("of the gnu general public license ", "copies of the software ", "permission is hereby granted "):
+        text = phrase * (20_000 // len(phrase.split()))
+        start = time.perf_counter()
+        index.matches(index.words.of(pa.array([text]))[0])
+        assert time.perf_counter() - start < 2
