@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,10 +96,11 @@ class Page:
 
     def __init__(self, source: str) -> None:
         self.parents, self.labels = [-1], [""]
+        self.paths, self.path_of = [0], {}  # number of each element's path, and of every (path above, label)
         self.blocks: list[tuple[int, str]] = []
         self.open: list[tuple[str, int, bool]] = []  # tag, element, left out
+        self.opened: Counter[str] = Counter()  # how many of a tag are open
         self.text: list[str] = []
-        self.seen: dict[str, bool] = {}  # tags that were ever opened: ends of others are not looked for
         self.read(source)
 
     def flush(self) -> None:
@@ -108,18 +110,21 @@ class Page:
             self.blocks.append((self.open[-1][1] if self.open else 0, text))
 
     def read(self, source: str) -> None:
-        at = 0
-        while found := TOKEN.search(source, at):
+        # After the last ">" no tag can end, so none is looked for, only a comment that never does.
+        at, stop = 0, source.rfind(">") + 1
+        while found := TOKEN.search(source, at, stop):
             self.add(source[at : found.start()])
             at = found.end()
+            if at == stop and found.group().startswith("<!--") and not found.group().endswith("-->"):
+                at = len(source)
             closing, tag, attributes = found.group(1), found.group(2), found.group(3)
             if tag is None:
                 continue
             tag = tag.lower()
             if tag in RAW and not closing:
                 end = re.compile(rf"(?i)</{re.escape(tag)}[\s/>]").search(source, at)
-                stop = source.find(">", end.start()) if end else -1
-                at = stop + 1 if stop >= 0 else len(source)
+                after = source.find(">", end.start()) if end else -1
+                at = after + 1 if after >= 0 else len(source)
                 if tag not in INLINE:
                     self.flush()
             elif tag == "br":
@@ -130,20 +135,32 @@ class Page:
                 self.close(tag)
             else:
                 self.start(tag, attributes)
-        self.add(source[at:])
+        self.add(source[at:].partition("<!--")[0])
         self.flush()
 
+    def push(self, tag: str, element: int, gone: bool) -> None:
+        self.open.append((tag, element, gone))
+        self.opened[tag] += 1
+
+    def cut(self, place: int) -> None:
+        """Ends the open elements from a place on."""
+        for tag, _, _ in self.open[place:]:
+            self.opened[tag] -= 1
+        del self.open[place:]
+
     def add(self, text: str) -> None:
         if text and not (self.open and self.open[-1][2]):
             self.text.append(text)
 
     def inline(self, tag: str, closing: bool, attributes: str) -> None:
-        """Inline elements do not change the path; only those left out by name are kept open until they end."""
+        """Inline elements do not change the path; only those left out by name are kept open until they end, and inside them
+        those of the same tag, whose ends are not theirs."""
+        top = self.open[-1] if self.open else ("", 0, False)
         if closing:
-            if self.open and self.open[-1][0] == tag:
-                self.open.pop()
-        elif attributes and left_out(tag, attributes):
-            self.open.append((tag, self.open[-1][1] if self.open else 0, True))
+            if top[0] == tag:
+                self.cut(len(self.open) - 1)
+        elif top[0] == tag and top[2] or attributes and left_out(tag, attributes):
+            self.push(tag, top[1], True)
 
     def start(self, tag: str, attributes: str) -> None:
         self.flush()
@@ -153,31 +170,32 @@ class Page:
             self.end_open(CLOSES[tag])
         if tag in VOID or attributes.endswith("/"):
             return
-        self.seen[tag] = True
         above = self.open[-1] if self.open else ("", 0, False)
+        label = tag + first_class(attributes)
         self.parents.append(above[1])
-        self.labels.append(tag + first_class(attributes))
-        self.open.append((tag, len(self.parents) - 1, above[2] or left_out(tag, attributes)))
+        self.labels.append(label)
+        self.paths.append(self.path_of.setdefault((self.paths[above[1]], label), len(self.path_of) + 1))
+        self.push(tag, len(self.parents) - 1, above[2] or left_out(tag, attributes))
 
     def end_open(self, tags: set[str]) -> None:
+        if not any(self.opened[tag] for tag in tags):
+            return
         for place in range(len(self.open) - 1, -1, -1):
             if self.open[place][0] in tags:
-                del self.open[place:]
-                return
+                return self.cut(place)
             if self.open[place][0] in SCOPE:
                 return
 
     def close(self, tag: str) -> None:
         self.flush()
-        if not self.seen.get(tag):
+        if not self.opened[tag]:
             return
         for place in range(len(self.open) - 1, -1, -1):
             if self.open[place][0] == tag:
-                del self.open[place:]
-                return
+                return self.cut(place)
 
 
-def path_scores(paths: list[str], texts: list[str]) -> dict[str, float]:
+def path_scores(paths: list[int], texts: list[str]) -> dict[int, float]:
     """Fused ratio of every path, in the order in which the paths come first."""
     order = list(dict.fromkeys(paths))
     place = {path: i for i, path in enumerate(order)}
@@ -201,27 +219,24 @@ def main_text(source: str | None) -> str:
     page = Page(source) if source else None
     if page is None or not page.blocks:
         return ""
-    chains: dict[int, list[int]] = {}
-
-    def chain(element: int) -> list[int]:
-        if element not in chains:
-            up, here = [], element
-            while here >= 0:
-                up.append(here)
-                here = page.parents[here]
-            chains[element] = up[::-1]
-        return chains[element]
-
-    paths = ["/".join(page.labels[e] for e in chain(element)) for element, _ in page.blocks]
+    paths = [page.paths[element] for element, _ in page.blocks]
     texts = [text for _, text in page.blocks]
     scores = path_scores(paths, texts)
     limit = THRESHOLD * max(scores.values())
-    shared: list[int] | None = None
-    for (element, _), path in zip(page.blocks, paths, strict=True):
-        if scores[path] >= limit:
-            own = chain(element)
-            same = len(own) if shared is None else next((i for i, (x, y) in enumerate(zip(shared, own)) if x != y), min(len(shared), len(own)))
-            shared = own[:same]
+    # Elements are numbered as they open, so those inside one are the numbers up to its last.
+    last = list(range(len(page.parents)))
+    for element in range(len(last) - 1, 0, -1):
+        above = page.parents[element]
+        last[above] = max(last[above], last[element])
+    chosen = [element for (element, _), path in zip(page.blocks, paths, strict=True) if scores[path] >= limit]
+    here = min(chosen)
+    while last[here] < max(chosen):
+        here = page.parents[here]
+    shared = []
+    while here >= 0:
+        shared.append(here)
+        here = page.parents[here]
+    shared = shared[::-1]
     tag = lambda element: page.labels[element].split(".")[0]
     while len(shared) > 1 and tag(shared[-1]) in STANDING | {"li", "td"}:
         shared = shared[:-1]
@@ -231,7 +246,7 @@ def main_text(source: str | None) -> str:
     article = shared[-1] if marked is None else shared[marked]
     out, begun = [], False
     for element, text in page.blocks:
-        inside = article in chain(element)
+        inside = article <= element <= last[article]
         begun = begun or inside
         if inside or element in around and element != 0 or tag(element) in STANDING and page.parents[element] in around or tag(element) == "h1" and not begun:
             out.append(text)

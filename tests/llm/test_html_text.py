@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 from stakewatch.llm.html_text import extracted, main_text, op2_html_text
 
@@ -65,3 +66,22 @@ def test_nothing_of_the_article_goes_outside_its_largest_part():
     sections = "".join(f"<div class=part><h2>Part {i}</h2>{body * n}</div>" for i, n in enumerate((30, 20, 1)))
     lines = main_text(f"<body><div>{sections}</div></body>").split("\n")
     assert [line for line in lines if line.startswith("Part")] == ["Part 0", "Part 1", "Part 2"] and len(lines) == 54
+
+
+def test_nested_hidden_inline_elements():
+    assert main_text("<article><p>a <span hidden>x<span>y</span> z</span> b</p></article>") == "a b"
+    assert main_text("<article><p>a <b>x<b>y</b> z</b> c</p></article>") == "a xy z c"
+
+
+def test_text_at_every_depth_and_tags_without_end_are_linear():
+    pages = {"depth": "<div>a. " * 60_000, "open": "<a " * 300_000, "ends": "<p>" + "<div>x " * 40_000 + "</p>" * 40_000, "own tags": "<b-x>t " * 20_000 + "<li>u " * 20_000}
+    for page in pages.values():
+        start = time.perf_counter()
+        assert main_text(page)
+        assert time.perf_counter() - start < 6
+    assert main_text(pages["depth"]) == "\n".join(["a."] * 60_000)
+
+
+def test_comments_that_never_end():
+    assert main_text("<p>a</p><!-- b > c") == "a"
+    assert main_text("<p>a</p> d <!-- b") == "a\nd"
