@@ -33,6 +33,10 @@ S_LETTER, S_NUMBER, S_OTHER, S_SHORT, S_LONG, S_WHITE, S_LAST_BLANK, S_LAST_WHIT
 #: letters of a contraction to come.
 FREE, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_BLANK, IN_WHITE, ONE_MORE, TWO_MORE = range(8)
 BLOCK = 64
+#: Bytes of text that boundaries are looked for in at a time (a longer text is one step), and pieces that a worker keeps: their
+#: arrays stay in the worker's memory, whatever comes after this operator.
+SCAN_BYTES = 1 << 18
+CACHED_PIECES = 400_000
 
 
 def code_point_classes() -> bytes:
@@ -245,7 +249,7 @@ class Encoder:
         self.goes, self.starts = automaton()
         self.hash = SliceHash()
         ranked = parse_ranks(zlib.decompress(ranks))
-        self.cache = PieceCache(Merger(ranked, *pairs))
+        self.cache = PieceCache(Merger(ranked, *pairs), CACHED_PIECES)
         self.token_length = np.zeros(max(ranked.values()) + 1, np.int64)
         for token, rank in ranked.items():
             self.token_length[rank] = len(token)
@@ -284,7 +288,7 @@ def encode(frame: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         encoder = kept_in_worker(("byte BPE encoder", version), lambda: Encoder(ranks, pairs, classes))
-        for part in text_slices(batch):
+        for part in text_slices(batch, limit=SCAN_BYTES):
             ids, offsets, counts = encoder.encode(part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column(key), list_array(pa.array(ids), counts), list_array(pa.array(offsets), counts)], [key, "ids", "offsets"])
 
