@@ -1056,11 +1056,13 @@ def e1_counts(spark, sf_dir):
 
 @query(
     "e1_first_purchase_per_buyer",
-    "SELECT issuer_cik, insider_id, arg_min(event_id,(DATE '2100-01-01'-transaction_date,event_id)) AS event_id, max(transaction_date) AS transaction_date FROM pe GROUP BY 1,2",
+    """SELECT issuer_cik, insider_id, owner_cik, array_to_string(normalized_roles,'|') AS roles, purchase_value, event_id, transaction_date FROM pe
+     QUALIFY row_number() OVER (PARTITION BY issuer_cik, insider_id ORDER BY transaction_date DESC, event_id)=1""",
     ("pe",),
 )
 def e1_buyers(spark, sf_dir):
-    return dossiers.first_purchase_per_buyer(tables.events(spark, sf_dir)).select("issuer_cik", "insider_id", "event_id", "transaction_date")
+    rows = dossiers.first_purchase_per_buyer(tables.events(spark, sf_dir))
+    return rows.select("issuer_cik", "insider_id", "owner_cik", joined(F.col("normalized_roles")).alias("roles"), "purchase_value", "event_id", "transaction_date")
 
 
 def _cross_people(spark, sf_dir) -> DataFrame:
