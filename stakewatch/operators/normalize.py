@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stakewatch.functions.identity import lineage, stable_id
 from stakewatch.functions.roles import roles_from_title
 from stakewatch.functions.text import clean_name, filing_symbol, market_symbol
-from stakewatch.operators.grouping import last_per_key, mark_copies
+from stakewatch.operators.grouping import last_per_key, mark_copies, spread_out
 
 AMENDMENT_KEYS = [
     "issuer_cik",
@@ -61,7 +61,7 @@ def lot_rows(parsed: DataFrame) -> DataFrame:
         F.lit(False),
     )
     roles = roles_from_title(owner["officer_title"], owner["is_director"], owner["is_ten_percent_owner"], owner["is_officer"])
-    spread = parsed.withColumn("owner", F.explode_outer("owners")).withColumn("lot", F.explode("lots"))
+    spread = spread_out(parsed.withColumn("owner", F.explode_outer("owners")), "lots", "lot")
     return spread.select(
         stable_id(
             F.col("accession_number"), insider, lot["sequence"], lot["transaction_date"], lot["security_title"],

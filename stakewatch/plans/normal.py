@@ -14,6 +14,7 @@ from stakewatch.functions.roles import roles_from_title
 from stakewatch.functions.text import joined
 from stakewatch.operators import activity, normalize, quality
 from stakewatch.operators.events import purchase_events
+from stakewatch.operators.grouping import spread_out
 from stakewatch.plans import tables
 from stakewatch.plans.oracle import TITLE_SQL, compact, feed_money, fixed, money, r, roles_sql, sid, trimmed
 from stakewatch.plans.registry import query
@@ -149,7 +150,7 @@ def _option_document(lines: DataFrame) -> DataFrame:
 )
 def src1_terms(spark, sf_dir):
     parsed = filing_source.parse_documents(_option_document(tables.raw(spark, sf_dir, "lineitem")))
-    rows = parsed.select("accession_number", "accepted_at", "amendment_description", "owners", F.explode("lots").alias("lot"))
+    rows = spread_out(parsed.select("accession_number", "accepted_at", "amendment_description", "owners", "lots"), "lots", "lot")
     return rows.select(
         "accession_number", "accepted_at", "amendment_description", F.array_join(F.transform("owners", lambda o: o["is_other"].cast("string")), "|").alias("others"),
         F.array_join(F.transform("owners", lambda o: F.coalesce(o["other_text"], F.lit(""))), "|").alias("other_texts"),
