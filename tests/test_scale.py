@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from stakewatch import session
-from stakewatch.operators import grouping, rankings, total_order
+from stakewatch.operators import grouping, history, rankings, total_order
 from stakewatch.plans import normal, tables
 from test_semantics import signal_rows
 
@@ -83,3 +83,59 @@ def test_partitions_grow_with_the_input(spark, sf_dir, monkeypatch):
     finally:
         for name, value in before.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_lots_send_flags_as_codes(spark, tmp_path, monkeypatch):
+    seen = []
+    real = total_order.written
+    monkeypatch.setattr(tables, "written", lambda df, name: seen.append(set(df.columns)) or real(df, name))
+    write_tables(spark, tmp_path)
+    rows = {r.accession_number: r for r in tables.build_lots(spark, str(tmp_path)).collect()}
+    assert seen and not any({"is_amendment", "is_non_derivative"} & columns for columns in seen)
+    assert {k: (r.is_amendment, r.is_non_derivative) for k, r in rows.items()} == {"00000000-5": (True, None), "0000000012": (False, True), "0000000003": (None, True)}
+
+
+def test_ranked_rows_are_written_once(spark, sf_dir):
+    from pathlib import Path
+
+    folder = Path(session.shared_folder(spark)) / "stakewatch"
+    tables.signals(spark, sf_dir)
+    tables._ranked.clear()
+    before = {p.parent for p in folder.rglob("*.parquet")}
+    ranked = tables.ranked(spark, sf_dir)
+    assert ranked.columns == rankings.RANKING_COLUMNS and ranked.count() > 0
+    kept = [p for p in {p.parent for p in folder.rglob("*.parquet")} - before if "stable_key" in spark.read.parquet(str(p)).columns]
+    assert len(kept) == 1
+    assert dict(spark.read.parquet(str(kept[0])).dtypes)["stable_key"] == "binary"
+    twice = ranked.join(tables.ranked(spark, sf_dir), ["stable_key"])  # the same table read anew
+    assert twice.count() == ranked.count()
+
+
+def codec(path):
+    import pyarrow.parquet as pq
+
+    return {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in path.glob("*.parquet") if pq.ParquetFile(f).metadata.num_row_groups}
+
+
+def test_tables_between_steps_shrink_the_digits_of_ids(spark, sf_dir):
+    from pathlib import Path
+
+    assert codec(Path(tables.events(spark, sf_dir).inputFiles()[0].removeprefix("file:")).parent) == {"ZSTD"}
+
+
+def test_days_without_parts_give_the_same_history_and_send_rows_less_often(spark, sf_dir):
+    events = tables.events(spark, sf_dir).select(*tables.HISTORY_COLUMNS)
+    assert not history.has_large_days(events) and history.has_large_days(events, 0)
+    whole, split = (history.with_daily_history(events, digits) for digits in (0, 2))
+    exchanges = [frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for frame in (whole, split)]
+    assert exchanges[0] <= exchanges[1] / 2
+    columns = ["event_id", "sequence", "_priors", "_day_place", "purchase_count_90d", F.round("_sum_placed_logs", 6).alias("p"), F.round("_largest", 6).alias("l")]
+    assert whole.select(*columns).exceptAll(split.select(*columns)).isEmpty() and whole.count() == split.count() == events.count()
+
+
+def test_large_days_are_found_also_without_keys(spark):
+    day = datetime.date(2020, 1, 1)
+    rows = [("a", None, day)] * 3 + [("a", "b", day), ("a", "b", None)]
+    events = spark.createDataFrame(rows, "issuer_cik string, insider_id string, transaction_date date")
+    assert history.has_large_days(events, 2) and not history.has_large_days(events, 3)
+    assert not history.has_large_days(events.limit(0), 0)
