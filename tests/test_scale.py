@@ -1,6 +1,7 @@
 """What travels through the large steps, and how they are cut."""
 
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
@@ -139,3 +140,30 @@ def test_large_days_are_found_also_without_keys(spark):
     events = spark.createDataFrame(rows, "issuer_cik string, insider_id string, transaction_date date")
     assert history.has_large_days(events, 2) and not history.has_large_days(events, 3)
     assert not history.has_large_days(events.limit(0), 0)
+
+
+def test_buckets_miss_no_large_key(spark):
+    frame = spark.createDataFrame([("a", 1)] * 5 + [("a", 2), (None, None)], "k string, n int")
+    keys = [F.col("k"), F.col("n")]
+    assert grouping.may_exceed(frame, keys, 4) and not grouping.may_exceed(frame, keys, 5)
+    assert not grouping.may_exceed(frame.limit(0), keys, 0)
+
+
+def test_holdings_by_line_and_by_day_are_the_same_and_by_line_sends_lots_once(spark):
+    rng = random.Random(3)
+    pick = lambda *values: rng.choice([*values, None])
+    days = [datetime.date(2020, 1, d) for d in (1, 2, 3)]
+    rows = [(rng.choice([1, 2, -12345678901, None]), pick(1, 2), rng.randrange(30), rng.randrange(4), pick(1, 2), pick(1.0, 2.0, 7.0), 1.0, pick(*days)) for _ in range(600)]
+    facts = spark.createDataFrame(rows + rows[:50], "l_suppkey bigint, _buyer bigint, _filing bigint, l_partkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, day date")
+    line, day = (held(facts).select(*facts.columns, "_issuer", "shares_owned_after") for held in (tables.held_by_line, tables.held_by_day))
+    assert line.count() == day.count() == sum(None not in (r[0], r[1], r[7]) for r in rows + rows[:50])
+    assert line.exceptAll(day).isEmpty() and not line.filter("shares_owned_after is null").isEmpty()
+    plans = [frame._jdf.queryExecution().executedPlan().toString().count("Exchange") for frame in (line, day)]
+    assert plans[0] == 1 < plans[1]
+
+
+def test_lots_of_a_large_holder_are_added_up_by_day(spark, sf_dir, monkeypatch):
+    whole = tables.build_lots(spark, sf_dir).collect()
+    monkeypatch.setattr(tables, "HOLDER_ROWS", 1)
+    monkeypatch.setattr(tables, "held_by_line", None)
+    assert sorted(map(str, tables.build_lots(spark, sf_dir).collect())) == sorted(map(str, whole))
