@@ -6,8 +6,8 @@ import random
 from pyspark.sql import functions as F
 
 from stakewatch import session
-from stakewatch.operators import grouping, history, rankings, total_order
-from stakewatch.plans import normal, tables
+from stakewatch.operators import grouping, history, rankings, signals, total_order
+from stakewatch.plans import normal, tables, web
 from test_semantics import signal_rows
 
 
@@ -167,3 +167,15 @@ def test_lots_of_a_large_holder_are_added_up_by_day(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(tables, "HOLDER_ROWS", 1)
     monkeypatch.setattr(tables, "held_by_line", None)
     assert sorted(map(str, tables.build_lots(spark, sf_dir).collect())) == sorted(map(str, whole))
+
+
+def test_companies_of_daily_rows_need_no_ranking(spark, sf_dir, monkeypatch):
+    tables.signals(spark, sf_dir)
+    monkeypatch.setattr(tables, "ranked", None)
+    for run in (web.j10, web.j10_keep):
+        assert run(spark, sf_dir).count() > 0
+
+
+def test_clusters_read_purchases_once(spark, sf_dir):
+    clusters = signals.buyer_clusters(tables.histories(spark, sf_dir))
+    assert clusters._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
