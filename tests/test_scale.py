@@ -2,11 +2,12 @@
 
 import datetime
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from stakewatch import session
-from stakewatch.operators import grouping, history, rankings, signals, total_order
+from stakewatch.operators import grouping, history, prices, rankings, signals, total_order
 from stakewatch.plans import normal, tables, web
 from test_semantics import signal_rows
 
@@ -179,3 +180,76 @@ def test_companies_of_daily_rows_need_no_ranking(spark, sf_dir, monkeypatch):
 def test_clusters_read_purchases_once(spark, sf_dir):
     clusters = signals.buyer_clusters(tables.histories(spark, sf_dir))
     assert clusters._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+
+
+def test_writes_leave_no_shuffle_files(spark, sf_dir, monkeypatch):
+    jobs = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {str(f) for f in jobs.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    before = files()
+    assert len(total_order.written(rows, "let-go").collect()) == 7
+    monkeypatch.setattr(tables, "_written", {})
+    assert len(tables.stage(spark, sf_dir, "let-go", lambda s, d: rows).collect()) == 7
+    kept = spark.conf.get(session.CLEANUP, "false")
+    for _ in range(50):  # files go in the background
+        left = {f for f in files() - before if f.endswith(".data")}
+        if not left:
+            break
+        time.sleep(0.1)
+    assert kept == "false" and not left
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_histories_by_person_are_the_same_and_purchases_stay_dealt_out(spark, sf_dir):
+    whole, dealt = tables.build_histories(spark, sf_dir), tables.histories_by_person(spark, sf_dir)
+    assert whole.columns == dealt.columns and whole.count() == dealt.count() > 0
+    figures = [F.round(c, 6).alias(c) if kind == "double" else c for c, kind in whole.dtypes]
+    assert whole.select(*figures).exceptAll(dealt.select(*figures)).isEmpty()
+    with session.for_writing(spark, **{session.DEAL_AGAIN: "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        assert plan_of(tables.histories_by_person(spark, sf_dir)).count("Exchange hashpartitioning") == 2
+
+
+def test_large_persons_take_the_written_days(spark, sf_dir, monkeypatch):
+    purchases = tables.events(spark, sf_dir)
+    monkeypatch.setattr(tables, "_written", {})
+    monkeypatch.setattr(tables, "events", lambda s, d: purchases)
+    monkeypatch.setattr(tables, "stage", lambda s, d, name, build, settings=None: (build, settings))
+    assert tables.histories(spark, sf_dir) == (tables.histories_by_person, {session.DEAL_AGAIN: "false"})
+    monkeypatch.setattr(tables.params, "ARRAY_GROUP_LIMIT", 0)
+    assert tables.histories(spark, sf_dir) == (tables.build_histories, None)
+
+
+def test_only_sessions_that_are_asked_for_are_sent_on(spark):
+    day = lambda n: None if n is None else datetime.date(2020, 1, n)
+    lines = [(t, day(n), 1.0) for t, n in (("A", 2), ("A", 4), ("A", 6), ("A", 6), ("A", 9), ("A", None), ("B", 5), (None, 3))]
+    asked = [(t, day(n)) for t, n in (("A", 3), ("A", 4), ("A", 5), ("A", 20), ("A", None), ("C", 1), ("B", 6))]
+    sessions = spark.createDataFrame(lines, "ticker string, date date, close double")
+    found = prices.with_asked_for(sessions, spark.createDataFrame(asked, "ticker string, day date")).collect()
+    assert len(found) == len(lines)
+    assert sorted((r.ticker, r.date.day) for r in found if r._asked_for and r.date) == [("A", 4), ("A", 6)]
+
+
+def test_only_ids_meet_the_clusters(spark, sf_dir):
+    found, bought = tables.histories(spark, sf_dir), tables.priced_events(spark, sf_dir)
+    with session.for_writing(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        plan = plan_of(signals.score_histories(found, tables.company_context(spark, sf_dir), bought))
+    assert plan.count("Exchange hashpartitioning(event_id") == 3  # histories, purchases, ids with their clusters
+    twice = signals.score_histories(found, tables.company_context(spark, sf_dir)).select("event_id", "cluster_score", "unique_buyers")
+    assert twice.exceptAll(tables.signals(spark, sf_dir).select(*twice.columns)).isEmpty()
+
+
+def test_stored_rows_hold_no_column_twice(spark, sf_dir, monkeypatch):
+    seen = {}
+    real = total_order.written
+    monkeypatch.setattr(total_order, "written", lambda df, name: seen.setdefault(name, df) and real(df, name))
+    ranked = rankings.rank_discoveries(tables.signals(spark, sf_dir), digits=("stable_key", "event_id"))
+    assert "headline" not in seen["rank"].columns and dict(seen["rank"].dtypes)["event_id"] == "binary"
+    plain = rankings.discovery_rows(tables.signals(spark, sf_dir)).select("event_id", "ranking_category", "headline", "stable_key")
+    assert ranked.select(*plain.columns).exceptAll(plain).isEmpty() and ranked.count() == plain.count()
+    stored = lambda name: set(spark.read.parquet(tables._written[(spark.sparkContext.applicationId, sf_dir, name)]).columns)
+    assert not stored("signals") & set(signals.TOLD) and set(signals.TOLD) <= set(tables.signals(spark, sf_dir).columns)
+    tables.prices(spark, sf_dir)
+    assert stored("prices") == {"ticker", "date", "low", "high", "volume"}
