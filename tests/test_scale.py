@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from stakewatch import session
-from stakewatch.operators import grouping, history, prices, rankings, signals, total_order
+from stakewatch.operators import activity, grouping, history, prices, rankings, signals, total_order
 from stakewatch.plans import normal, tables, web
 from test_semantics import signal_rows
 
@@ -237,8 +237,9 @@ def test_only_ids_meet_the_clusters(spark, sf_dir):
     with session.for_writing(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
         plan = plan_of(signals.score_histories(found, tables.company_context(spark, sf_dir), bought))
     assert plan.count("Exchange hashpartitioning(event_id") == 3  # histories, purchases, ids with their clusters
-    twice = signals.score_histories(found, tables.company_context(spark, sf_dir)).select("event_id", "cluster_score", "unique_buyers")
-    assert twice.exceptAll(tables.signals(spark, sf_dir).select(*twice.columns)).isEmpty()
+    day = ["issuer_cik", "transaction_date"]
+    clusters = found.select("event_id", *day).join(signals.buyer_clusters(found), day).select("event_id", "cluster_score", "unique_buyers")
+    assert clusters.exceptAll(tables.signals(spark, sf_dir).select(*clusters.columns)).isEmpty()
 
 
 def test_stored_rows_hold_no_column_twice(spark, sf_dir, monkeypatch):
@@ -253,3 +254,20 @@ def test_stored_rows_hold_no_column_twice(spark, sf_dir, monkeypatch):
     assert not stored("signals") & set(signals.TOLD) and set(signals.TOLD) <= set(tables.signals(spark, sf_dir).columns)
     tables.prices(spark, sf_dir)
     assert stored("prices") == {"ticker", "date", "low", "high", "volume"}
+
+
+def test_texts_of_a_company_are_read_once(spark, monkeypatch):
+    seen = []
+    real = activity.resolve_company
+    monkeypatch.setattr(activity, "resolve_company", lambda rows, companies, **named: seen.extend(companies.columns) or real(rows, companies, **named))
+    day = datetime.date(2020, 1, 2)
+    known = [("1", "aa", " Acme ", "nan", " Mining", 1.0, "aa"), ("2", "bb", "None", "EUROPE", "", 1.0, "bb"), ("3", "n/a", "Hidden", "ASIA", "x", 1.0, "c")]
+    companies = spark.createDataFrame(known, "issuer_cik string, ticker string, company_name string, sector string, industry string, market_cap double, slug string")
+    schema = "event_id string, filing_date date, transaction_date date, ticker string, issuer_cik string, company_name string, sector string, industry string, owner_cik string, owner_name string, purchase_value double, buyer_count int, conviction_score double, behavior_change_score double, cluster_score double, silence_break_score double, days_since_previous_purchase int, headline string, ranking_category string"
+    rest = (5.0, 1, 1.0, 1.0, 1.0, 1.0, 1, "", "")
+    rows = [("a", day, None, "zz", "1", "Other", " NULL ", "Own", " 7 ", "Who", *rest), ("b", day, day, "bb", "", "undefined", "ASIA", "Own", "nan", " Who ", *rest), ("c", day, day, "zz", "3", "x", "x", "x", "7", "", *rest)]
+    daily = spark.createDataFrame(rows, schema)
+    found = activity.activity_events(daily, daily.limit(0).withColumn("rank", F.lit(1)), companies)
+    got = {tuple(r) for r in found.select("issuer_cik", "ticker", "company_name", "sector", "industry", "owner_cik", "owner_name", "transaction_date").collect()}
+    assert got == {("1", "AA", "Acme", "", "Mining", "7", "Who", day), ("2", "BB", "BB", "EUROPE", "Own", "", "Who", day)}
+    assert seen and all(f"_{c}" in seen for c in activity.COMPANY_TEXTS)
