@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stakewatch.operators import rankings
+from stakewatch.operators.total_order import CODEC
 from stakewatch.plans import tables
 from stakewatch.plans.normal import PRICE_MERGE_SQL, _loads, scratch
 from stakewatch.plans.oracle import sid
@@ -49,11 +50,11 @@ def st3(spark, sf_dir):
     latest = tables.ranked(spark, sf_dir).select("ranking_category", "rank", "stable_key", "ranking_score").withColumn("as_of", F.to_date(F.lit("1999-01-01")))
     inbox = scratch(spark, "rankings")
     # the same ranking delivered twice
-    latest.write.mode("append").parquet(inbox)
-    latest.write.mode("append").parquet(inbox)
+    latest.write.mode("append").option("compression", CODEC).parquet(inbox)
+    latest.write.mode("append").option("compression", CODEC).parquet(inbox)
     history = rankings.snapshot_keys(latest.filter("rank <= 50"))
     stream = jobs.file_stream(spark, inbox, latest.schema)
-    return finish(jobs.new_rankings(stream, history, "as_of"), spark, "ranking-history").select("snapshot_key", "ranking_category", "rank")
+    return finish(jobs.new_rankings(stream, history, "as_of", shown=["ranking_category", "rank"]), spark, "ranking-history").select("snapshot_key", "ranking_category", "rank")
 
 
 @query(

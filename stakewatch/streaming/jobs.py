@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stakewatch.operators.grouping import last_per_key
 from stakewatch.operators.rankings import snapshot_keys
-from stakewatch.operators.total_order import written
+from stakewatch.operators.total_order import CODEC, written
 
 
 def file_stream(spark: SparkSession, path: str, schema: object, pattern: str = "*", per_trigger: int | None = None) -> DataFrame:
@@ -24,7 +24,7 @@ def file_stream(spark: SparkSession, path: str, schema: object, pattern: str = "
 def to_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Runs over everything there is now and stops."""
     return (
-        stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+        stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).option("compression", CODEC)
         .trigger(availableNow=True).start()
     )
 
@@ -72,12 +72,14 @@ def stored_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.read.schema(like.schema).parquet(path)
 
 
-def new_rankings(stream: DataFrame, history: DataFrame, event_time: str, delay: str = "30 days") -> DataFrame:
-    """Ranking rows not in the history yet: an anti join with the stored table, then once per snapshot key.
+def new_rankings(stream: DataFrame, history: DataFrame, event_time: str, delay: str = "30 days", shown: list[str] | None = None) -> DataFrame:
+    """Ranking rows not in the history yet: an anti join with the stored table, then once per snapshot key. Only the ``shown`` columns
+    are sent with the keys, all where none are named.
 
     Keys of snapshots that arrive within the delay are kept as state; older ones are in the stored history and are let go, so
     the state holds as many rows as the delay has, however long the history grows."""
     keyed = snapshot_keys(stream).withColumn("event_time", F.col(event_time).cast("timestamp"))
+    keyed = keyed if shown is None else keyed.select("snapshot_key", *shown, "event_time")
     fresh = keyed.join(history.select("snapshot_key"), "snapshot_key", "left_anti")
     return fresh.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["snapshot_key"]).drop("event_time")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from stakewatch import session
 from stakewatch.operators import activity, grouping, history, prices, rankings, signals, total_order
 from stakewatch.plans import normal, tables, web
+from stakewatch.streaming import jobs
 from test_semantics import signal_rows
 
 
@@ -271,3 +272,14 @@ def test_texts_of_a_company_are_read_once(spark, monkeypatch):
     got = {tuple(r) for r in found.select("issuer_cik", "ticker", "company_name", "sector", "industry", "owner_cik", "owner_name", "transaction_date").collect()}
     assert got == {("1", "AA", "Acme", "", "Mining", "7", "Who", day), ("2", "BB", "BB", "EUROPE", "Own", "", "Who", day)}
     assert seen and all(f"_{c}" in seen for c in activity.COMPANY_TEXTS)
+
+
+def test_histories_of_rankings_send_only_what_they_show(spark, sf_dir):
+    latest = spark.createDataFrame([("c", i, f"k{i % 7}", 1.0) for i in range(20)] * 2, "ranking_category string, rank int, stable_key string, ranking_score double")
+    history = rankings.snapshot_keys(latest.filter("rank < 3"))
+    whole, narrow = rankings.append_history(history, latest), rankings.append_history(history, latest, ["ranking_category", "rank"])
+    assert narrow.columns == ["snapshot_key", "ranking_category", "rank"] and narrow.count() == 17
+    assert whole.select(*narrow.columns).exceptAll(narrow).isEmpty() and "stable_key" in whole.columns
+    stream = spark.readStream.format("rate").load().selectExpr("'c' ranking_category", "CAST(value AS INT) rank", "'k' stable_key", "1D ranking_score", "timestamp")
+    assert jobs.new_rankings(stream, history, "timestamp", shown=["rank"]).columns == ["snapshot_key", "rank"]
+    assert "stable_key" in jobs.new_rankings(stream, history, "timestamp").columns
