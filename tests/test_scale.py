@@ -283,3 +283,9 @@ def test_histories_of_rankings_send_only_what_they_show(spark, sf_dir):
     stream = spark.readStream.format("rate").load().selectExpr("'c' ranking_category", "CAST(value AS INT) rank", "'k' stable_key", "1D ranking_score", "timestamp")
     assert jobs.new_rankings(stream, history, "timestamp", shown=["rank"]).columns == ["snapshot_key", "rank"]
     assert "stable_key" in jobs.new_rankings(stream, history, "timestamp").columns
+
+
+def test_trailing_figures_share_the_order_of_the_rows(spark, sf_dir):
+    """Five frames of blocks: each sorts twice, and the last columns and their first numbers share what is left."""
+    plan = plan_of(prices.session_context(tables.prices(spark, sf_dir)))
+    assert plan.count("Sort [") <= 13 and plan.count("Exchange hashpartitioning") == 1
